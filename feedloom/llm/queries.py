@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, pii, simhash
+from feedloom.llm import bpe, pii, simhash, toxicity
 from feedloom.llm.shared import read
 
 
@@ -16,6 +16,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.graded(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -31,7 +36,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_pii": op4_pii, "op7_simhash": op7_simhash, "op10_bpe": op10_bpe}
+    return {"op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op7_simhash": op7_simhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
