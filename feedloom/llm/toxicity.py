@@ -22,7 +22,7 @@ MOST_FEATURES, LEAST_EVIDENCE = 2_000, 24.0
 PREFIXES = (4, 5, 6)
 GRADES = 3
 #: From which P(grade > 0) a text is rejected; texts without a telling feature stay far below.
-REJECT_AT = 0.15
+REJECT_AT = 0.35
 WORD = re.compile(r"\w+")
 
 
