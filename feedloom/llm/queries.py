@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, pii, simhash, toxicity
+from feedloom.llm import bpe, mixing, pii, simhash, toxicity
 from feedloom.llm.shared import read
 
 
@@ -26,6 +26,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def tokenizer(name: str) -> str:
     """Place of a public tokenizer's file; ``FEEDLOOM_TOKENIZERS`` names another folder."""
     return os.path.join(os.environ.get("FEEDLOOM_TOKENIZERS", "/opt/tokenizers"), name)
@@ -36,7 +40,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op7_simhash": op7_simhash, "op10_bpe": op10_bpe}
+    return {"op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
