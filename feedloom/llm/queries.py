@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, mixing, pii, simhash, toxicity
+from feedloom.llm import bpe, mixing, pii, secrets, simhash, toxicity
 from feedloom.llm.shared import read
 
 
@@ -21,6 +21,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.graded(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = secrets.found(read(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+    counts = [n(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return df.select("doc_id", *counts, F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -40,7 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+    return {"op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
