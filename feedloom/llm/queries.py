@@ -8,10 +8,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, mixing, pii, secrets, simhash, toxicity
+from feedloom.llm import bpe, fingerprints, mixing, pii, secrets, simhash, toxicity
 from feedloom.llm.shared import read
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    df = fingerprints.with_next(docs, lambda d: fingerprints.with_signature(d, "text", "signature"))
+    n = F.length("text")
+    cut = F.floor(n / 3).cast("int")
+    df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next.text", F.lit(1), cut)))
+    df = fingerprints.with_signature(df, "edited", "edited_signature")
+    own, edited = F.col("signature"), F.col("edited_signature")
+    return df.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.written(own).alias("fingerprint"),
+        fingerprints.written(edited).alias("edited_fingerprint"),
+        fingerprints.likeness(own, edited).alias("near_edited"),
+        fingerprints.likeness(own, F.col("next.signature")).alias("near_next"),
+    )
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read(spark, sf_dir, "documents"))
 
@@ -47,7 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+    return {"op2_fingerprints": op2_fingerprints, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
