@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, fingerprints, mixing, pii, secrets, simhash, toxicity
+from feedloom.llm import bpe, embedding_dedup, fingerprints, mixing, pii, secrets, simhash, toxicity
 from feedloom.llm.shared import read
 
 
@@ -31,6 +31,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_fingerprints": op2_fingerprints, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+    return {"op2_fingerprints": op2_fingerprints, "op3_embedding_dedup": op3_embedding_dedup, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
