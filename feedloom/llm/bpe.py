@@ -21,6 +21,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: The same for texts below U+0250, with the classes spelled out, for the faster matcher.
 SPACE, LETTER, NUMBER = r"\t-\r \x85\xa0", r"A-Za-zªµºÀ-ÖØ-öø-ɏ", r"0-9²³¹¼½¾"
 LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+_PRETOKENS, _LATIN_PRETOKENS, _BEYOND_LATIN = regex.compile(PRETOKEN).findall, re.compile(LATIN).findall, re.compile("[^\x00-\u024f]").search
 #: Most distinct pre-tokens that a Python worker remembers; the memory starts afresh beyond it.
 REMEMBERED = 1_000_000
 #: Bytes up to which a piece is merged by plain scans.
@@ -28,6 +29,11 @@ SHORT = 100
 NEVER = 1 << 60
 
 
+def pretokens(text: str) -> list[str]:
+    """The text cut into pre-tokens; they add up to the text."""
+    return _PRETOKENS(text) if _BEYOND_LATIN(text) else _LATIN_PRETOKENS(text)
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in byte-level vocabularies: printable
     Latin-1 bytes are themselves, the others take the letters from U+0100 on, in order."""
@@ -55,14 +61,9 @@ class Codec:
         self.result = [vocab[a + b] for a, b in pairs]
         #: byte pairs that stand side by side inside some token; a cut between any others is certain
         self.joined = {p for t in self.id_of for p in zip(t, t[1:])}
-        self.any_pretokens, self.latin_pretokens = regex.compile(PRETOKEN).findall, re.compile(LATIN).findall
-        self.beyond_latin = re.compile("[^\x00-\u024f]").search
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def pretokens(self, text: str) -> list[str]:
-        return self.any_pretokens(text) if self.beyond_latin(text) else self.latin_pretokens(text)
-
     def fragments(self, word: bytes) -> list[bytes]:
         """The word cut wherever its two neighbouring bytes never stand together inside a token:
         no merge can span such a place, so the pieces encode independently."""
@@ -121,7 +122,7 @@ class Codec:
             if part in self.special:
                 ids.append(self.special[part])
                 continue
-            for word in self.pretokens(part):
+            for word in pretokens(part):
                 found = self.known.get(word)
                 if found is None:
                     if len(self.known) >= REMEMBERED:

@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, embedding_dedup, fingerprints, mixing, pii, secrets, simhash, toxicity
+from feedloom.llm import bpe, embedding_dedup, fingerprints, mixing, pii, secrets, simhash, token_counts, toxicity
 from feedloom.llm.shared import read
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     df = fingerprints.with_next(docs, lambda d: fingerprints.with_signature(d, "text", "signature"))
@@ -70,7 +74,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_fingerprints": op2_fingerprints, "op3_embedding_dedup": op3_embedding_dedup, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+    return {"op1_token_counts": op1_token_counts, "op2_fingerprints": op2_fingerprints, "op3_embedding_dedup": op3_embedding_dedup, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
