@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, embedding_dedup, fingerprints, mixing, pii, secrets, simhash, token_counts, toxicity
+from feedloom.llm import bpe, embedding_dedup, fingerprints, mixing, pii, secrets, simhash, substrings, token_counts, toxicity
 from feedloom.llm.shared import read
 
 
@@ -60,6 +60,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -74,7 +78,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_fingerprints": op2_fingerprints, "op3_embedding_dedup": op3_embedding_dedup, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+    return {"op1_token_counts": op1_token_counts, "op2_fingerprints": op2_fingerprints, "op3_embedding_dedup": op3_embedding_dedup, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op8_substrings": op8_substrings, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
