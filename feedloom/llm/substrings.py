@@ -4,8 +4,11 @@
    wherever the window stands. Anchors are counted; those that occur once belong to windows that
    occur once.
 2. A filter of fixed largest size tells a scan of the texts which anchors may occur again (it may
-   err to that side only), and the scan cuts out the chunks of text around them.
-3. The windows of the chunks are aggregated to the first place of each that occurs again. The
+   err to that side only), and the scan cuts out the chunks of text around them. Where a chunk
+   ends follows from its words, so equal passages give equal chunks. Every window of a chunk
+   that stands earlier, word for word, starts earlier; so only the first of equal chunks is
+   searched further.
+3. The windows of the first chunks are aggregated to the first place of each that occurs again. The
    first places make up the reference: passages in which each repeated window stands once.
 4. The reference is dealt out in shards. A task builds a shard's suffix automaton and streams
    through it the chunks that share an anchor with it; where the matching statistic reaches
@@ -31,8 +34,10 @@ from feedloom.llm.shared import checkpointed, slices
 
 WINDOW = 20
 GRAM = 9
-#: Windows of a chunk, words of a shard, and chunks that a task streams through its automaton, about.
-CHUNK, SHARD, STREAM = 1_000, 50_000, 400
+#: Windows of a chunk, at least (but for a run's end) and at most, and about so many between the places where one may end.
+SHORT, CHUNK, SPACING = 64, 1_000, 128
+#: Words of a shard, and chunks that a task streams through its automaton, about.
+SHARD, STREAM = 50_000, 2_000
 #: The filter's blocks have 2**16 bits; so many blocks at most (64 MB).
 MOST_BLOCKS = 8_192
 NULL_ID = -(1 << 63)
@@ -73,8 +78,13 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
-def chunks(marked: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
-    """(first, last + 1) windows, CHUNK of them at most, of the windows that hold a marked run's place; n: number of windows."""
+def chunks(marked: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) windows of the words hashed in h, of those windows that hold a marked run's place.
+
+    A chunk ends where the hash of the next GRAM words says so, SHORT windows after its start at
+    the earliest, CHUNK at the latest.
+    """
+    n = len(h) - WINDOW + 1
     if not len(marked) or n <= 0:
         return
     low, high = np.maximum(marked - (WINDOW - GRAM), 0), np.minimum(marked + 1, n)
@@ -82,10 +92,16 @@ def chunks(marked: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
     np.add.at(edge, low, 1)
     np.add.at(edge, high, -1)
     inside = np.cumsum(edge[:-1]) > 0
+    ends = np.flatnonzero(rolled(h, GRAM, 3)[:n] % np.uint64(SPACING) == 0)
     turns = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-    for a, b in turns.reshape(-1, 2):
-        for c in range(a, b, CHUNK):
-            yield int(c), int(min(b, c + CHUNK))
+    for a, b in turns.reshape(-1, 2).tolist():
+        for c in [*ends[np.searchsorted(ends, a + SHORT) : np.searchsorted(ends, b)].tolist(), b]:
+            while c - a > CHUNK:
+                yield a, a + CHUNK
+                a += CHUNK
+            if c - a >= SHORT or c == b:
+                yield a, c
+                a = c
 
 
 class Filter:
@@ -142,7 +158,7 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
 
 
 def candidate_chunks(docs: DataFrame, marked: Filter) -> DataFrame:
-    """(id, start, text): chunks of the texts, each with the words of its windows, whose anchors the filter has."""
+    """(id, start, n, key, text): chunks of the texts, each with the words of its windows, n of them, whose anchors the filter has; key: a hash of the text."""
     shared = docs.sparkSession.sparkContext.broadcast((marked.blocks, marked.bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,24 +167,33 @@ def candidate_chunks(docs: DataFrame, marked: Filter) -> DataFrame:
             rows = []
             for i, text in zip(part["id"], part["text"]):
                 words = text.split()
-                at, keys = anchors(hashed(words))
-                rows += [(i, a, b" ".join(words[a : b + WINDOW - 1])) for a, b in chunks(at[own.has(keys)], len(words) - WINDOW + 1)]
-            yield pd.DataFrame(rows, columns=["id", "start", "text"])
+                h = hashed(words)
+                at, keys = anchors(h)
+                for a, b in chunks(at[own.has(keys)], h):
+                    cut = b" ".join(words[a : b + WINDOW - 1])
+                    rows.append((i, a, b - a + WINDOW - 1, xxhash.xxh3_128_digest(cut), cut))
+            yield pd.DataFrame(rows, columns=["id", "start", "n", "key", "text"])
+
+    return _texts(docs).mapInPandas(run, "id long, start int, n int, key binary, text binary")
+
 
-    return _texts(docs).mapInPandas(run, "id long, start int, text binary")
+def first_chunks(cut: DataFrame) -> DataFrame:
+    """(key, id, start, n, text, copies): of equal chunks the first, with their number. Equal chunks meet before the shuffle."""
+    by = cut.groupBy("key").agg(F.min(F.struct("id", "start")).alias("head"), F.first("n").alias("n"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    return by.select("key", "head.id", "head.start", "n", "text", "copies")
 
 
 def first_places(cut: DataFrame) -> DataFrame:
-    """(id, at): by text, the places where windows of the chunks that occur more than once occur first."""
+    """(id, at): by text, the places where windows of the first chunks that occur more than once occur first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(batches, "text", 2_000_000):
             keys = [rolled(hashed(t.split()), WINDOW, 2).view(np.int64) for t in part["text"]]
             n = np.array([len(k) for k in keys])
             starts = np.repeat(part["start"].to_numpy(), n) + np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0)
-            yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "id": np.repeat(part["id"].to_numpy(), n), "at": starts.astype(np.int32)})
+            yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "id": np.repeat(part["id"].to_numpy(), n), "at": starts.astype(np.int32), "copies": np.repeat(part["copies"].to_numpy(), n)})
 
-    first = cut.mapInPandas(run, "key long, id long, at int").groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1")
+    first = cut.select("id", "start", "text", "copies").mapInPandas(run, "key long, id long, at int, copies long").groupBy("key").agg(F.sum("copies").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1")
     return first.groupBy("first.id").agg(F.collect_list("first.at").alias("at"))
 
 
@@ -188,7 +213,7 @@ def passages(cut: DataFrame, first: DataFrame) -> DataFrame:
                 rows += [(i, int(start + a), b" ".join(words[a : b + WINDOW - 1]), int(b - a) + WINDOW - 1) for a, b in turns.reshape(-1, 2)]
             yield pd.DataFrame(rows, columns=["id", "start", "text", "n"])
 
-    return cut.join(first, "id").mapInPandas(run, "id long, start int, text binary, n int")
+    return cut.select("id", "start", "text").join(first, "id").mapInPandas(run, "id long, start int, text binary, n int")
 
 
 def _with_anchors(df: DataFrame, names: list[str]) -> DataFrame:
@@ -294,16 +319,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, spans): by text with words to remove, the spans of words, [a, b), of its windows that also start earlier."""
     marked = filter_of(checkpointed(repeated_anchors(docs)))
     cut = checkpointed(candidate_chunks(docs, marked))
-    reference = passages(cut, first_places(cut))
-    words = cut.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, words // (6 * SHARD))
+    heads = checkpointed(first_chunks(cut))
+    reference = passages(heads, first_places(heads))
+    words = heads.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, words // SHARD)
     reference = checkpointed(reference.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))))
+    # chunks that are in the reference whole hold first places only
+    searched = checkpointed(heads.join(reference.select("id", "start", "n"), ["id", "start", "n"], "left_anti").select("id", "start", "text"))
     where = checkpointed(_with_anchors(reference, ["shard"]).distinct())
-    routes = checkpointed(_with_anchors(cut, ["id", "start"]).join(where, "key").select("id", "start", "shard").distinct())
+    routes = checkpointed(_with_anchors(searched, ["id", "start"]).join(where, "key").select("id", "start", "shard").distinct())
     tasks = checkpointed(routes.groupBy("shard").agg(F.ceil(F.count("*") / STREAM).alias("tasks")))
-    stream = routes.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("id", "start"), "tasks")).drop("tasks").join(cut, ["id", "start"])
+    stream = routes.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("id", "start"), "tasks")).drop("tasks").join(searched, ["id", "start"])
     copies = reference.join(tasks, "shard").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1))).drop("tasks", "n")
     spans = copies.groupBy("shard", "task").cogroup(stream.groupBy("shard", "task")).applyInPandas(_streamed, "id long, a int, b int")
+    head = heads.where("copies > 1").select("key", F.col("id").alias("head_id"), F.col("start").alias("head_start"))
+    later = cut.select("key", "id", "start", "n").join(head, "key").where("id != head_id or start != head_start")
+    spans = spans.union(later.select("id", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")))
     return spans.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
