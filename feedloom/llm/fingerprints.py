@@ -49,6 +49,13 @@ def _sample(term: Column) -> Column:
     return F.transform(step, packed)[0]
 
 
+def _unit_sample(h: Column) -> Column:
+    """``_sample`` of a term of weight 1, whose t is 0, in one expression."""
+    (u1, u2), (u3, u4), (u5, _) = (_halves(h, seed) for seed in (1, 2, 3))
+    place = F.floor((F.ln(-F.ln(_uniform(u3) * _uniform(u4))) + F.ln(_uniform(u1) * _uniform(u2)) * (1 - _uniform(u5)) + 200.0) * float(1 << 25))
+    return F.shiftleft(F.pmod(h, F.lit(BINS)), 50) + F.shiftleft(place, 16) + F.xxhash64(h, F.lit(0).cast("long")).bitwiseAND(F.lit(0xFFFF))
+
+
 def with_signature(df: DataFrame, text: str, name: str, shingle: int = SHINGLE, bins: int = BINS) -> DataFrame:
     """df with ``name``: array<long>, for each bin that has a term, bin * 65536 + the sample's tag, by bin.
 
@@ -59,20 +66,22 @@ def with_signature(df: DataFrame, text: str, name: str, shingle: int = SHINGLE,
     df = df.withColumn("_words", words)
     n = F.size("_words")
     shingles = F.transform(F.sequence(F.lit(1), n - (shingle - 1)), lambda i: F.xxhash64(F.slice("_words", i, shingle)))
-    df = df.withColumn("_hashes", F.sort_array(F.when(n >= shingle, shingles).when(n > 0, F.array(F.xxhash64("_words"))).otherwise(F.array().cast("array<long>"))))
-    # equal terms stand together: a run's first place, and from the next run's the term's weight
-    first = lambda x, i: (i == 0) | (x != F.get("_hashes", i - 1))
-    pairs = F.zip_with("_hashes", F.sequence(F.lit(0), F.size("_hashes") - 1), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    df = df.withColumn("_runs", F.when(n > 0, F.filter(pairs, lambda x: first(x["h"], x["i"]))).otherwise(F.array().cast("array<struct<h:long,i:int>>")))
-    df = df.withColumn("_runs", F.transform("_runs", lambda x, j: F.struct(x["h"].alias("h"), (F.coalesce(F.get("_runs", j + 1)["i"], F.size("_hashes")) - x["i"]).alias("n"))))
-    once = F.transform("_runs", lambda x: F.struct(x["h"].alias("h"), F.lit(1.0).alias("w")))
+    df = df.withColumn("_hashes", F.when(n >= shingle, shingles).when(n > 0, F.array(F.xxhash64("_words"))).otherwise(F.array().cast("array<long>")))
+    df = df.withColumn("_once", F.array_distinct("_hashes"))
+    # where terms repeat, equal ones are brought together: a run's first place, and from the next run's the term's weight
+    none = F.array().cast("array<struct<h:long,i:int>>")
+    df = df.withColumn("_sorted", F.when(F.size("_once") < F.size("_hashes"), F.sort_array("_hashes")))
+    first = lambda x, i: (i == 0) | (x != F.get("_sorted", i - 1))
+    pairs = F.zip_with("_sorted", F.sequence(F.lit(0), F.size("_sorted") - 1), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    df = df.withColumn("_runs", F.when(F.col("_sorted").isNotNull(), F.filter(pairs, lambda x: first(x["h"], x["i"]))).otherwise(none))
+    df = df.withColumn("_runs", F.transform("_runs", lambda x, j: F.struct(x["h"].alias("h"), (F.coalesce(F.get("_runs", j + 1)["i"], F.size("_sorted")) - x["i"]).alias("n"))))
     weight = lambda x: 1 + F.ln(x["n"])
     layers = lambda x: F.transform(F.sequence(F.lit(1), F.ceil(weight(x)).cast("int") - 1), lambda j: F.struct(F.xxhash64(x["h"], j).alias("h"), F.least(F.lit(1.0), weight(x) - j).alias("w")))
-    terms = F.concat(once, F.flatten(F.transform(F.filter("_runs", lambda x: x["n"] > 1), layers)))
-    df = df.withColumn("_drawn", F.sort_array(F.transform(terms, _sample)))
+    more = F.flatten(F.transform(F.filter("_runs", lambda x: x["n"] > 1), layers))
+    df = df.withColumn("_drawn", F.sort_array(F.concat(F.transform("_once", _unit_sample), F.transform(more, _sample))))
     least = F.filter("_drawn", lambda x, i: (i == 0) | (F.shiftright(x, 50) != F.shiftright(F.get("_drawn", i - 1), 50)))
     df = df.withColumn(name, F.transform(least, lambda x: F.shiftleft(F.shiftright(x, 50), 16) + x.bitwiseAND(F.lit(0xFFFF))))
-    return df.drop("_words", "_hashes", "_runs", "_drawn")
+    return df.drop("_words", "_hashes", "_once", "_sorted", "_runs", "_drawn")
 
 
 def likeness(a: Column, b: Column) -> Column:
