@@ -20,7 +20,7 @@ def evidence_page(records: DataFrame, connectors: DataFrame, search: str | None
     df = df if search is None else df.where(F.col("redacted").ilike(f"%{search}%"))
     total = df.agg(F.count("*").alias("total"))
     page = df.orderBy(F.desc_nulls_last("published_at"), "record_id").offset(offset).limit(limit)
-    named = page.join(F.broadcast(connectors), "connector", "left")
+    named = page.join(connectors, "connector", "left")
     return named.select("record_id", F.coalesce("display", F.lit("unknown")).alias("source_name"), "published_at", excerpt(F.col("redacted"), 240).alias("excerpt")), total
 
 

@@ -35,15 +35,14 @@ def memberships(vectors: DataFrame, representatives: int = REPRESENTATIVES) -> D
     """vectors (record_id, theme_id, embedding) with score, rank and the two marks.
 
     The highest-scored members are representative; a theme with more members than that has the
-    last-ranked one as its counterexample. Equal scores follow record_id. The few ranks that
-    matter come from top-k and minimum aggregates; a full rank is ``ranked``.
+    last-ranked one as its counterexample. Equal scores follow record_id.
     """
-    scored = vectors.join(F.broadcast(centroids(vectors)), "theme_id")
+    scored = vectors.join(centroids(vectors), "theme_id")
     return ranked(scored.withColumn("membership_score", clamped(dot(F.col("embedding"), F.col("centroid")))).drop("centroid"), representatives)
 
 
 def ranked(scored: DataFrame, representatives: int = REPRESENTATIVES) -> DataFrame:
-    """Rank within the theme: a window over salted ranges of scores would be needed for themes beyond a task's sort, which spills; a theme is a cluster of a set."""
+    """scored (theme_id, record_id, membership_score, ...) with rank and the two marks. A theme is sorted in one task, which spills."""
     by = Window.partitionBy("theme_id").orderBy(F.desc("membership_score"), "record_id")
     df = scored.withColumn("rank", F.row_number().over(by)).withColumn("_n", F.count("*").over(Window.partitionBy("theme_id")))
     df = df.withColumn("is_representative", F.col("rank") <= F.least(F.lit(representatives), F.col("_n")))
@@ -112,7 +111,7 @@ def set_quality(members: DataFrame, eligible: int, outliers: int) -> DataFrame:
     per_record = distinct.groupBy("record_id").agg(F.sort_array(F.collect_set("theme_id")).alias("t"))
     several = per_record.where(F.size("t") > 1).select(F.explode(F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(x as a, y as b))))")).alias("p"))
     shared = several.groupBy("p.a", "p.b").agg(F.count("*").alias("both"))
-    like = shared.join(F.broadcast(sizes.select(F.col("theme_id").alias("a"), F.col("n").alias("na"))), "a").join(F.broadcast(sizes.select(F.col("theme_id").alias("b"), F.col("n").alias("nb"))), "b")
+    like = shared.join(sizes.select(F.col("theme_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("theme_id").alias("b"), F.col("n").alias("nb")), "b")
     total = like.agg(F.coalesce(F.sum(F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))), F.lit(0.0)).alias("total"))
     themes = sizes.agg(F.count("*").alias("themes"))
     spread = per_record.agg(F.count("*").alias("clustered"), F.count_if(F.size("t") > 1).alias("several"))
