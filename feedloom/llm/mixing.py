@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
-from heapq import heappop, heappush
+from collections.abc import Iterator, Mapping
+from heapq import heapify, heappop, heappush
+from itertools import islice
+from math import lcm
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedloom.llm.shared import checkpointed
 
-#: Slots of one round of the schedule: weights are kept as multiples of 1 / ROUND, and there are ROUND sources at most.
+#: Slots of a round, where a schedule is asked for by rounds.
 ROUND = 1_000
+#: Ended sources keep their slots until these are so many times the blocks.
+EMPTY = 4
+#: Blocks that the schedule hands over at a time.
+PLACES = 50_000
 #: Documents of a block.
 BLOCK = 16
 #: A source is numbered in buckets of so many rows, or in MOST_BUCKETS larger ones.
@@ -35,26 +42,60 @@ def quotas(weights: Mapping[str, float], slots: int = ROUND) -> dict[str, int]:
     return given
 
 
-def schedule(quota: Mapping[str, int]) -> list[str]:
-    """The source of each slot of a round, by earliest deadline first.
+def timed(weights: Mapping[str, float], sizes: Mapping[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) of the first ``sizes`` blocks of each source, by earliest deadline first; in whole numbers, so exactly.
 
     Block k (from 0) of a source with weight w is released at floor(k / w) and due at
-    ceil((k + 1) / w). Weights sum to 1, so every deadline is met: no prefix deviates from its
-    targets by a whole block. Rounds repeat, as at the end of each all sources stand at their
-    targets. The work is ROUND steps whatever the size of the data.
+    ceil((k + 1) / w). Weights sum to 1, so every deadline is met: up to any slot, no source
+    deviates from its target by a whole block. A source that has ended leaves its slots empty, until
+    the slots are several times the blocks; from there on the blocks left take the first empty slot after their release.
     """
-    slots = sum(quota.values())
-    released: list[list[tuple[int, str, int]]] = [[] for _ in range(slots)]
-    for s, q in sorted(quota.items()):
-        for k in range(q):
-            released[k * slots // q].append((-((k + 1) * slots // -q), s, k))
+    ratios = {s: w.as_integer_ratio() for s, w in weights.items()}
+    scale = max((d for _, d in ratios.values()), default=1)
+    scale = scale if all(scale % d == 0 for _, d in ratios.values()) else lcm(*(d for _, d in ratios.values()))
+    share = {s: n * (scale // d) for s, (n, d) in ratios.items()}
+    whole = sum(share.values())
+    left = sum(sizes.values())
+    empty = EMPTY * left + ROUND
+    coming = [(0, s, 0) for s in share]
+    heapify(coming)
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for jobs in released:
-        for job in jobs:
-            heappush(ready, job)
-        out.append(heappop(ready)[1])
-    return out
+    slot = 0
+    while left:
+        while coming and coming[0][0] <= slot:
+            _, s, k = heappop(coming)
+            if k < sizes[s] or slot < empty:
+                heappush(ready, (-((k + 1) * whole // -share[s]), s, k))
+        if not ready:
+            slot = coming[0][0]
+            continue
+        _, s, k = heappop(ready)
+        if k < sizes[s]:
+            yield s, k, slot
+            left -= 1
+        heappush(coming, ((k + 1) * whole // share[s], s, k + 1))
+        slot += 1
+
+
+def schedule(quota: Mapping[str, int]) -> list[str]:
+    """The source of each slot of a round, in which every source has its quota of slots."""
+    return [s for s, _, _ in timed(quota, quota)]
+
+
+def slots_of(sizes: DataFrame, weights: Mapping[str, float] | None, block: int) -> DataFrame:
+    """(_key, _block, _slot) of every block of the sources in ``sizes`` (_key, n).
+
+    Each slot follows from those before it, so one task makes the schedule; it reads a row for each source and keeps as much,
+    and its steps are a few for each block.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = {s: int(x) for part in batches for s, x in zip(part["_key"], part["n"])}
+        places = timed({s: x**TEMPER if weights is None else weights[s] for s, x in n.items()}, {s: -(-x // block) for s, x in n.items()})
+        while some := list(islice(places, PLACES)):
+            yield pd.DataFrame(some, columns=["_key", "_block", "_slot"])
+
+    return sizes.select("_key", "n").repartition(1).mapInPandas(run, "_key string, _block long, _slot long")
 
 
 def _table(docs: DataFrame, rows: list[dict], schema: str) -> DataFrame:
@@ -62,35 +103,30 @@ def _table(docs: DataFrame, rows: list[dict], schema: str) -> DataFrame:
     return docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, slots: int = ROUND) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """``docs`` (doc_id, source, ...) with slot and position, by which they are in the mixed order.
 
     Each source's documents, shuffled by a hash of doc_id, make blocks; the blocks take their
-    source's slots in turn. Up to where the first source ends, every prefix of whole slots
-    holds, of each source, its weight's share within less than a block; after it the others go
-    on in their slots, so positions have gaps but no row is left out. ``weights``: by source,
+    source's slots in turn. Every prefix of whole slots holds, of each source that has not ended in it,
+    its exact weight's share within less than a block, however long the table is; the slots of sources that have
+    ended stay empty, so positions have gaps but no row is left out. ``weights``: by source,
     all sources that are in ``docs``; by default the square root of each source's size. A null
     source counts as "", repeated rows take a place each, an empty table gives no rows. Columns
     of ``docs`` that are called slot or position give way to the new ones.
     """
     docs = docs.drop("slot", "position")
     keyed = docs.withColumn("_key", F.coalesce("source", F.lit("")))
-    sizes = {r["_key"]: r["n"] for r in keyed.groupBy("_key").agg(F.count("*").alias("n")).limit(slots + 1).collect()}
-    weights = {s: n**TEMPER for s, n in sizes.items()} if weights is None else weights
-    if missing := [s for s in sizes if not weights.get(s, 0) > 0]:
-        raise ValueError(f"no weight for {missing[:5]}")
-    quota = quotas({s: weights[s] for s in sizes}, slots) if sizes else {}
-    order = schedule(quota) if quota else []
-    taken: dict[str, int] = dict.fromkeys(quota, 0)
-    places = []
-    for slot, s in enumerate(order):
-        places.append({"_key": s, "_k": taken[s], "_slot": slot})
-        taken[s] += 1
-    sources = [{"_key": s, "_buckets": -(-n // max(BUCKET, n // MOST_BUCKETS)), "_quota": quota[s]} for s, n in sizes.items()]
+    sizes = checkpointed(keyed.groupBy("_key").agg(F.count("*").alias("n")))
+    if weights is not None:
+        able = _table(docs, [{"_key": s} for s, w in weights.items() if w > 0], "_key string")
+        if missing := [r["_key"] for r in sizes.join(able, "_key", "left_anti").limit(5).collect()]:
+            raise ValueError(f"no weight for {missing}")
+    places = checkpointed(slots_of(sizes, weights, block))
+    buckets = sizes.select("_key", F.ceil(F.col("n") / F.greatest(F.lit(BUCKET), F.floor(F.col("n") / MOST_BUCKETS))).alias("_buckets"))
 
     # numbering: each bucket counts by itself, and the buckets before it are summed, so that no task has a whole source
     mark = F.xxhash64("doc_id", F.lit(77))
-    dealt = keyed.join(F.broadcast(_table(docs, sources, "_key string, _buckets long, _quota long")), "_key")
+    dealt = keyed.join(F.broadcast(buckets), "_key")
     dealt = dealt.withColumn("_bucket", F.pmod(mark, "_buckets"))
     counts = checkpointed(dealt.groupBy("_key", "_bucket").agg(F.count("*").alias("_rows")))
     whole = Window.partitionBy("_key").orderBy("_bucket")
@@ -99,7 +135,5 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: in
     own = Window.partitionBy("_key", "_bucket").orderBy(mark, "doc_id", F.xxhash64(*ties))
     placed = dealt.withColumn("_place", F.row_number().over(own)).join(before, ["_key", "_bucket"])
     number = F.col("_before") + F.col("_place") - 1
-    blocked = placed.withColumn("_block", F.floor(number / block)).withColumn("_in", number % block).withColumn("_k", F.col("_block") % F.col("_quota"))
-    timed = blocked.join(F.broadcast(_table(docs, places, "_key string, _k long, _slot long")), ["_key", "_k"])
-    slot = F.floor(F.col("_block") / F.col("_quota")) * slots + F.col("_slot")
-    return timed.select(*(docs[c] for c in docs.columns), slot.alias("slot"), (slot * block + F.col("_in")).alias("position"))
+    blocked = placed.withColumn("_block", F.floor(number / block)).withColumn("_in", number % block)
+    return blocked.join(places, ["_key", "_block"]).select(*(docs[c] for c in docs.columns), F.col("_slot").alias("slot"), (F.col("_slot") * block + F.col("_in")).alias("position"))
