@@ -61,21 +61,28 @@ class Hits(dict):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of at most about MOST_TOXIC and MOST_CLEAN labelled documents, picked by a hash of the id; each text once.
+    """(text, toxic, weight) of at most about MOST_TOXIC and MOST_CLEAN labelled documents, picked by a hash of the id; each text once.
 
+    weight: how many labelled documents each stands for, 1 / the rate at which its label was picked.
     Labels other than 0 and 1, and null texts, are left out; of several labels of one document the higher counts.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     space = 1 << 30
-    cut = F.when(F.col("toxic") == 1, int(space * min(1, MOST_TOXIC / max(1, n.get(1, 0))))).otherwise(int(space * min(1, MOST_CLEAN / max(1, n.get(0, 0)))))
+    rates = [min(1, most / max(1, n.get(label, 0))) for label, most in enumerate((MOST_CLEAN, MOST_TOXIC))]
+    by_label = lambda clean, toxic: F.when(F.col("toxic") == 1, toxic).otherwise(clean)
+    cut = by_label(*(int(space * x) for x in rates))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < cut)
     texts = docs.where("text is not null").select("doc_id", "text")
-    return texts.join(F.broadcast(picked), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    return texts.join(F.broadcast(picked), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic", by_label(*(1 / x for x in rates)).cast("double").alias("weight"))
 
 
 def telling(sample: DataFrame) -> list[str]:
-    """The features that stand in toxic texts far more often than chance has it, the most telling first."""
+    """The features that stand in toxic texts far more often than chance has it, the most telling first.
+
+    The test asks whether the shares within the two labels differ, so the rates at which these were picked don't matter to it,
+    and it counts the texts that were seen, without their weights.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(batches, "text", 2_000_000):
@@ -114,24 +121,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         hits = Hits(index)
         for part in slices(batches, "text"):
             counts = [hits.counts(t) for t in part["text"]]
-            yield pd.DataFrame({"toxic": part["toxic"], "at": [list(c) for c in counts], "n": [list(c.values()) for c in counts]})
+            yield pd.DataFrame({"toxic": part["toxic"], "weight": part["weight"], "at": [list(c) for c in counts], "n": [list(c.values()) for c in counts]})
 
-    rows = sample.mapInPandas(run, "toxic int, at array<int>, n array<int>").collect()
+    rows = sample.mapInPandas(run, "toxic int, weight double, at array<int>, n array<int>").collect()
     toxic = np.array([r["toxic"] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r["at"]) for r in rows])
     col = np.array([i for r in rows for i in r["at"]], np.int64)
     value = np.log1p(np.array([n for r in rows for n in r["n"]], np.float64))
     amount = np.bincount(row, value, len(rows))
     grade = toxic * (1 + (amount >= np.median(amount[toxic == 1])))
-    return Model(index, *ordinal(row, col, value, grade, len(names)))
+    return Model(index, *ordinal(row, col, value, grade, len(names), np.array([r["weight"] for r in rows])))
 
 
-def ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, ridge: float = 1e-5, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) of the proportional-odds model, by accelerated gradient steps on the ridge-penalised mean loss.
+def ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, weight: np.ndarray, ridge: float = 1e-5, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of the proportional-odds model, by accelerated gradient steps on the ridge-penalised mean loss, each row counted by its weight.
 
     The thresholds are a first one and positive gaps, so they stay in order; the weights are shared by all.
     """
     n, k = len(grade), GRADES - 1
+    part = weight / weight.sum()
     weights, first, gaps = np.zeros(width), 0.0, np.zeros(k - 1)
     moments = [np.zeros(width + k), np.zeros(width + k)]
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
@@ -142,10 +150,10 @@ def ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarr
         slope = above * (1 - above)
         at = np.arange(n)
         p = np.maximum(above[at, grade] - above[at, grade + 1], 1e-12)
-        by_score = -(slope[at, grade] - slope[at, grade + 1]) / p / n
+        by_score = -(slope[at, grade] - slope[at, grade + 1]) / p * part
         by_threshold = np.zeros(k)
         for j in range(1, k + 1):
-            by_threshold[j - 1] = (slope[:, j] / p / n * ((grade == j).astype(float) - (grade == j - 1))).sum()
+            by_threshold[j - 1] = (slope[:, j] / p * part * ((grade == j).astype(float) - (grade == j - 1))).sum()
         tails = np.cumsum(by_threshold[::-1])[::-1]
         gradient = np.concatenate([np.bincount(col, value * by_score[row], width) + ridge * weights, [tails[0]], tails[1:] * np.exp(gaps)])
         moments[0] = 0.9 * moments[0] + 0.1 * gradient
