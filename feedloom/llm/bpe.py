@@ -156,6 +156,23 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, n_chars, decoded_sha256): each whole text encoded, its ids decoded again in the same pass.
+
+    n_chars: code points of the decoded text. Null texts count as empty, repeated rows stay.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = codec(path)
+        for part in slices(batches, "text"):
+            ids = [own.encode(t) for t in part["text"]]
+            texts = [own.decode(i) for i in ids]
+            hashes = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(i) for i in ids], "ids": ids, "n_chars": [len(t) for t in texts], "decoded_sha256": hashes})
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, n_chars long, decoded_sha256 string")
+
+
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of ``tokens`` (doc_id, ids)."""
 
