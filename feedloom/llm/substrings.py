@@ -40,7 +40,6 @@ SHORT, CHUNK, SPACING = 64, 1_000, 128
 SHARD, STREAM = 50_000, 2_000
 #: The filter's blocks have 2**16 bits; so many blocks at most (64 MB).
 MOST_BLOCKS = 8_192
-NULL_ID = -(1 << 63)
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
@@ -143,10 +142,15 @@ def filter_of(keys: DataFrame) -> Filter:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    """(doc_id, id, text) of each row; id: a key of the row's own, in the order of doc_id (nulls first), a hash of the text, a number."""
+    eight = lambda x: F.unhex(F.lpad(F.hex(x), 16, "0"))
+    high = lambda x: eight(x.bitwiseXOR(F.lit(-(1 << 63))))
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    first = F.when(F.col("doc_id").isNull(), F.lit(bytes(9))).otherwise(F.concat(F.lit(b"\x01"), high(F.col("doc_id"))))
+    return docs.select("doc_id", F.concat(first, high(F.xxhash64(text)), eight(F.monotonically_increasing_id())).alias("id"), text.alias("text"))
 
 
-def repeated_anchors(docs: DataFrame) -> DataFrame:
+def repeated_anchors(texts: DataFrame) -> DataFrame:
     """(key): the anchors that occur at more than one place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,12 +158,12 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
             found = [anchors(hashed(t.split()))[1] for t in part["text"]]
             yield pd.DataFrame({"key": np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)})
 
-    return _texts(docs).select("text").mapInPandas(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return texts.select("text").mapInPandas(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
 
 
-def candidate_chunks(docs: DataFrame, marked: Filter) -> DataFrame:
+def candidate_chunks(texts: DataFrame, marked: Filter) -> DataFrame:
     """(id, start, n, key, text): chunks of the texts, each with the words of its windows, n of them, whose anchors the filter has; key: a hash of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast((marked.blocks, marked.bits))
+    shared = texts.sparkSession.sparkContext.broadcast((marked.blocks, marked.bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Filter(*shared.value)
@@ -174,7 +178,7 @@ def candidate_chunks(docs: DataFrame, marked: Filter) -> DataFrame:
                     rows.append((i, a, b - a + WINDOW - 1, xxhash.xxh3_128_digest(cut), cut))
             yield pd.DataFrame(rows, columns=["id", "start", "n", "key", "text"])
 
-    return _texts(docs).mapInPandas(run, "id long, start int, n int, key binary, text binary")
+    return texts.select("id", "text").mapInPandas(run, "id binary, start int, n int, key binary, text binary")
 
 
 def first_chunks(cut: DataFrame) -> DataFrame:
@@ -193,7 +197,7 @@ def first_places(cut: DataFrame) -> DataFrame:
             starts = np.repeat(part["start"].to_numpy(), n) + np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0)
             yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "id": np.repeat(part["id"].to_numpy(), n), "at": starts.astype(np.int32), "copies": np.repeat(part["copies"].to_numpy(), n)})
 
-    first = cut.select("id", "start", "text", "copies").mapInPandas(run, "key long, id long, at int, copies long").groupBy("key").agg(F.sum("copies").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1")
+    first = cut.select("id", "start", "text", "copies").mapInPandas(run, "key long, id binary, at int, copies long").groupBy("key").agg(F.sum("copies").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1")
     return first.groupBy("first.id").agg(F.collect_list("first.at").alias("at"))
 
 
@@ -213,7 +217,7 @@ def passages(cut: DataFrame, first: DataFrame) -> DataFrame:
                 rows += [(i, int(start + a), b" ".join(words[a : b + WINDOW - 1]), int(b - a) + WINDOW - 1) for a, b in turns.reshape(-1, 2)]
             yield pd.DataFrame(rows, columns=["id", "start", "text", "n"])
 
-    return cut.select("id", "start", "text").join(first, "id").mapInPandas(run, "id long, start int, text binary, n int")
+    return cut.select("id", "start", "text").join(first, "id").mapInPandas(run, "id binary, start int, text binary, n int")
 
 
 def _with_anchors(df: DataFrame, names: list[str]) -> DataFrame:
@@ -315,10 +319,10 @@ def _streamed(reference: pd.DataFrame, stream: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["id", "a", "b"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(texts: DataFrame) -> DataFrame:
     """(id, spans): by text with words to remove, the spans of words, [a, b), of its windows that also start earlier."""
-    marked = filter_of(checkpointed(repeated_anchors(docs)))
-    cut = checkpointed(candidate_chunks(docs, marked))
+    marked = filter_of(checkpointed(repeated_anchors(texts)))
+    cut = checkpointed(candidate_chunks(texts, marked))
     heads = checkpointed(first_chunks(cut))
     reference = passages(heads, first_places(heads))
     words = heads.agg(F.sum("n")).first()[0] or 0
@@ -331,7 +335,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     tasks = checkpointed(routes.groupBy("shard").agg(F.ceil(F.count("*") / STREAM).alias("tasks")))
     stream = routes.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("id", "start"), "tasks")).drop("tasks").join(searched, ["id", "start"])
     copies = reference.join(tasks, "shard").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1))).drop("tasks", "n")
-    spans = copies.groupBy("shard", "task").cogroup(stream.groupBy("shard", "task")).applyInPandas(_streamed, "id long, a int, b int")
+    spans = copies.groupBy("shard", "task").cogroup(stream.groupBy("shard", "task")).applyInPandas(_streamed, "id binary, a int, b int")
     head = heads.where("copies > 1").select("key", F.col("id").alias("head_id"), F.col("start").alias("head_start"))
     later = cut.select("key", "id", "start", "n").join(head, "key").where("id != head_id or start != head_start")
     spans = spans.union(later.select("id", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")))
@@ -343,8 +347,8 @@ def removed(docs: DataFrame) -> DataFrame:
 
     A word goes if a window of WINDOW words covers it whose words also start earlier: in a
     document of smaller doc_id, or earlier in the same one. Windows are judged on the input.
-    Null and empty texts have no words; a null doc_id is smaller than all others; rows that share
-    a doc_id are one document, and what stands at the same place in them is one occurrence. An
+    Null and empty texts have no words; a null doc_id is smaller than all others; each row is a document of its own, and
+    rows that share a doc_id, or have none, stand in the order of a hash of their texts. An
     empty table gives no rows, other columns are ignored.
     """
 
@@ -362,9 +366,9 @@ def removed(docs: DataFrame) -> DataFrame:
                     gone = len(words) - len(kept)
                 rows.append((len(words), gone, hashlib.sha256(b" ".join(kept)).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
-            out.insert(0, "doc_id", part["id"])
+            out.insert(0, "doc_id", part["doc_id"])
             yield out
 
-    joined = _texts(docs).join(repeated_spans(docs), "id", "left")
-    out = joined.select("id", "text", "spans").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    texts = checkpointed(_texts(docs))
+    joined = texts.join(repeated_spans(texts), "id", "left")
+    return joined.select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
