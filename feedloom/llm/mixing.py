@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator, Mapping
 from heapq import heapify, heappop, heappush
 from itertools import islice
 from math import lcm
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedloom.llm.shared import checkpointed
+from feedloom.llm.shared import checkpointed, shared_folder
 
 #: Slots of a round, where a schedule is asked for by rounds.
 ROUND = 1_000
@@ -85,17 +85,18 @@ def schedule(quota: Mapping[str, int]) -> list[str]:
 def slots_of(sizes: DataFrame, weights: Mapping[str, float] | None, block: int) -> DataFrame:
     """(_key, _block, _slot) of every block of the sources in ``sizes`` (_key, n).
 
-    Each slot follows from those before it, so one task makes the schedule; it reads a row for each source and keeps as much,
-    and its steps are a few for each block.
+    Each slot follows from those before it, so the driver makes the schedule, with a row for each source in its memory and a few
+    steps for each block, and stores it in the shared folder by PLACES blocks.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = {s: int(x) for part in batches for s, x in zip(part["_key"], part["n"])}
-        places = timed({s: x**TEMPER if weights is None else weights[s] for s, x in n.items()}, {s: -(-x // block) for s, x in n.items()})
-        while some := list(islice(places, PLACES)):
-            yield pd.DataFrame(some, columns=["_key", "_block", "_slot"])
-
-    return sizes.select("_key", "n").repartition(1).mapInPandas(run, "_key string, _block long, _slot long")
+    spark = sizes.sparkSession
+    n = {r["_key"]: r["n"] for r in sizes.collect()}
+    places = timed({s: x**TEMPER if weights is None else weights[s] for s, x in n.items()}, {s: -(-x // block) for s, x in n.items()})
+    folder = f"{shared_folder(spark)}/slots-{uuid.uuid4().hex}"
+    some = list(islice(places, PLACES))
+    while True:
+        _table(sizes, [{"_key": s, "_block": k, "_slot": slot} for s, k, slot in some], "_key string, _block long, _slot long").write.mode("append").parquet(folder)
+        if not (some := list(islice(places, PLACES))):
+            return spark.read.parquet(folder)
 
 
 def _table(docs: DataFrame, rows: list[dict], schema: str) -> DataFrame:
@@ -121,7 +122,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: in
         able = _table(docs, [{"_key": s} for s, w in weights.items() if w > 0], "_key string")
         if missing := [r["_key"] for r in sizes.join(able, "_key", "left_anti").limit(5).collect()]:
             raise ValueError(f"no weight for {missing}")
-    places = checkpointed(slots_of(sizes, weights, block))
+    places = slots_of(sizes, weights, block)
     buckets = sizes.select("_key", F.ceil(F.col("n") / F.greatest(F.lit(BUCKET), F.floor(F.col("n") / MOST_BUCKETS))).alias("_buckets"))
 
     # numbering: each bucket counts by itself, and the buckets before it are summed, so that no task has a whole source
