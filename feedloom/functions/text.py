@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 #: What counts as white space at a text's ends.
-SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 #: Below U+0300 every text is in NFC already.
 MAY_COMPOSE = r"[^\x00-\x{2ff}]"
@@ -46,7 +48,7 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def normalized(text: Column) -> Column:
@@ -85,8 +87,8 @@ def guessed_language(text: Column) -> Column:
 
 
 def language(text: Column, code: Column) -> Column:
-    """struct(code, mixed, supported) from a detector's code; texts under 12 characters have none."""
-    long = F.length(stripped(F.coalesce(text, F.lit("")))) >= LEAST_DETECTED
+    """struct(code, mixed, supported) of a normalised text, from a detector's code; texts under 12 characters have none."""
+    long = F.length(text) >= LEAST_DETECTED
     mixed = long & text.rlike(DEVANAGARI) & text.rlike(LATIN_WORD)
     code = F.when(long, code)
     return F.struct(code.alias("code"), F.coalesce(mixed, F.lit(False)).alias("mixed"), F.coalesce(mixed | code.isin(*SUPPORTED), F.lit(False)).alias("supported"))
@@ -94,10 +96,9 @@ def language(text: Column, code: Column) -> Column:
 
 def holds_any(text: Column, phrases: tuple[str, ...]) -> Column:
     """True where the lowered text holds one of the phrases; false for null."""
-    lowered, found = F.lower(text), F.lit(False)
-    for p in phrases:
-        found = found | lowered.contains(p)
-    return F.coalesce(found, F.lit(False))
+    # lowered once: a one-element array hands it to all the tests
+    found = F.transform(F.array(F.lower(text)), lambda t: reduce(or_, (t.contains(p) for p in phrases)))
+    return F.coalesce(found[0], F.lit(False))
 
 
 def demographic(text: Column) -> Column:
@@ -109,16 +110,16 @@ def causal(text: Column) -> Column:
 
 
 def relevance(text: Column) -> Column:
-    return F.when((stripped(text) == "") | text.rlike(URL_ONLY), "insufficient_content").when(holds_any(text, SPAM), "spam_or_promotion").otherwise("unreviewed")
+    """insufficient_content, spam_or_promotion or unreviewed, of a normalised text."""
+    return F.when((text == "") | text.rlike(URL_ONLY), "insufficient_content").when(holds_any(text, SPAM), "spam_or_promotion").otherwise("unreviewed")
 
 
 def quality(original: Column, text: Column, lang: Column) -> Column:
-    """malformed, unsupported_language, low_information or usable, the first that holds; an unknown language is not an unsupported one."""
-    empty = stripped(text) == ""
+    """malformed, unsupported_language, low_information or usable, the first that holds, of a normalised text; an unknown language is not an unsupported one."""
     return (
-        F.when((stripped(F.coalesce(original, F.lit(""))) != "") & empty, "malformed")
+        F.when((text == "") & (stripped(F.coalesce(original, F.lit(""))) != ""), "malformed")
         .when(lang["code"].isNotNull() & ~lang["mixed"] & ~lang["supported"], "unsupported_language")
-        .when(F.length(stripped(text)) < LEAST_MEANINGFUL, "low_information")
+        .when(F.length(text) < LEAST_MEANINGFUL, "low_information")
         .otherwise("usable")
     )
 

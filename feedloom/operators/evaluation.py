@@ -150,7 +150,7 @@ def applied_reviews(labels: DataFrame, decisions: DataFrame, taxonomy: DataFrame
     Rejections and second reviews need a reason; an edit's label must be in the taxonomy (label).
     """
     known = taxonomy.select(F.col("label").alias("new_label")).distinct().withColumn("_known", F.lit(True))
-    df = decisions.join(F.broadcast(known), "new_label", "left")
+    df = decisions.join(known, "new_label", "left")
     reasoned = F.coalesce(F.col("reason") != "", F.lit(False))
     valid = (~F.col("decision").isin("reject", "second_review") | reasoned) & ((F.col("decision") != "edit") | F.coalesce("_known", F.lit(False)))
     last = df.where(valid).groupBy("label_id").agg(F.max_by(F.struct("decision", "new_label"), "at").alias("d"))
@@ -174,3 +174,98 @@ def calibration(pairs: DataFrame, buckets: int = 5) -> DataFrame:
     """(bucket, n, confidence, accuracy) from pairs (confidence, correct)."""
     bucket = F.least(F.floor(F.col("confidence") * buckets), F.lit(buckets - 1)).cast("int")
     return pairs.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.avg(F.col("correct").cast("int")).alias("accuracy"))
+
+
+# The suites, the objects that each grades, and its graders.
+SUITES = {
+    "grounding": ("generated_answer", ("schema_integrity", "citation_integrity", "demographic_inference", "causal_overclaim", "insufficient_evidence_policy")),
+    "retrieval": ("generated_answer", ("cross_version_contamination", "deleted_object_retrieval", "duplicate_evidence")),
+    "classification": ("feedback_record", ("unsupported_label", "classification_demographic_inference", "low_confidence_rate")),
+    "theme": ("theme", ("theme_naming_integrity", "representative_evidence", "source_concentration")),
+}
+
+
+def in_suite(results: DataFrame, suite: str) -> DataFrame:
+    """The results of a suite's graders."""
+    return results.where(F.col("grader").isin(*SUITES[suite][1]))
+
+
+def answer_candidates(items: DataFrame, answers: DataFrame, findings: DataFrame, citations: DataFrame) -> DataFrame:
+    """(object_id, missing, answer_text, citation_count, findings) for each of ``items`` (object_id): the answer with its findings in order, each with its citations.
+
+    findings: (finding_id, answer_id, position, statement); citations: (finding_id, label, object_type, object_id).
+    An item without its answer is missing: it fails.
+    """
+    cited = citations.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("label", "object_type", "object_id"))).alias("citations"))
+    some = F.coalesce("citations", F.array().cast("array<struct<label:string,object_type:string,object_id:string>>"))
+    whole = findings.join(cited, "finding_id", "left").groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("position", "statement", some.alias("citations")))).alias("findings"))
+    found = answers.join(whole, "answer_id", "left").select(F.col("answer_id").alias("object_id"), "answer_text", "citation_count", "findings", F.lit(False).alias("_there"))
+    return items.join(found, "object_id", "left").select("object_id", F.coalesce("_there", F.lit(True)).alias("missing"), "answer_text", "citation_count", "findings")
+
+
+def classification_candidates(items: DataFrame, records: DataFrame, analyses: DataFrame, labels: DataFrame, spans: DataFrame) -> DataFrame:
+    """(object_id, missing, analysis_id, labels) for each of ``items`` (object_id): the newest analysis of the record, with its labels.
+
+    analyses: (analysis_id, record_id, version, at); labels: (label_id, analysis_id, dimension, label_version, confidence);
+    spans: (label_id, excerpt). A label tells whether it is of its own analysis' version. Records that are gone or have no analysis are missing.
+    """
+    newest = analyses.join(records.select("record_id"), "record_id", "left_semi").groupBy("record_id").agg(F.max_by(F.struct("analysis_id", "version"), F.struct("at", "analysis_id")).alias("a")).select(F.col("record_id").alias("object_id"), "a.*")
+    excerpt = spans.groupBy("label_id").agg(F.min("excerpt").alias("excerpt"))
+    full = newest.join(labels, "analysis_id").join(excerpt, "label_id", "left")
+    one = F.struct("dimension", "label_id", "confidence", F.coalesce(F.col("label_version") == F.col("version"), F.lit(False)).alias("own_version"), F.coalesce("excerpt", F.lit("")).alias("excerpt"))
+    by = full.groupBy("object_id").agg(F.array_sort(F.collect_list(one)).alias("labels"))
+    return items.join(newest, "object_id", "left").join(by, "object_id", "left").select("object_id", F.col("analysis_id").isNull().alias("missing"), "analysis_id", "labels")
+
+
+def theme_candidates(items: DataFrame, themes: DataFrame, members: DataFrame) -> DataFrame:
+    """(object_id, missing, name, member_count, has_representative, source_counts) for each of ``items`` (object_id); deleted themes are missing."""
+    alive = themes.where("deleted_at is null").select(F.col("theme_id").alias("object_id"), "name")
+    by = members.groupBy("theme_id", "connector").agg(F.count("*").alias("n"), F.bool_or("is_representative").alias("some"))
+    sums = by.groupBy(F.col("theme_id").alias("object_id")).agg(F.sum("n").alias("member_count"), F.bool_or("some").alias("has_representative"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("connector", "n")))).alias("source_counts"))
+    joined = items.join(alive, "object_id", "left").join(sums, "object_id", "left")
+    there = F.col("name").isNotNull()
+    return joined.select("object_id", (~there).alias("missing"), "name", F.when(there, F.coalesce("member_count", F.lit(0))).alias("member_count"), F.when(there, F.coalesce("has_representative", F.lit(False))).alias("has_representative"), F.when(there, F.col("source_counts")).alias("source_counts"))
+
+
+def citation_lineage(citations: DataFrame, records: DataFrame, analyses: DataFrame, themes: DataFrame, theme_sets: DataFrame, insights: DataFrame, insight_sets: DataFrame) -> DataFrame:
+    """(object_type, object_id, known, deleted, run_id) of each different cited object: whether it exists, is deleted, and the analysis run that it goes back to.
+
+    A record's run is that of its newest analysis (record_id, run_id, at), a theme's and an insight's that of their set (set_id, run_id).
+    The three kinds are resolved by their keys and put together, then joined once; an unknown kind is unknown.
+    """
+    newest = analyses.groupBy("record_id").agg(F.max_by("run_id", "at").alias("run_id"))
+    part = lambda df, kind, key: df.select(F.lit(kind).alias("object_type"), F.col(key).alias("object_id"), F.col("deleted_at").isNotNull().alias("deleted"), "run_id")
+    objects = (
+        part(records.select("record_id", "deleted_at").join(newest, "record_id", "left"), "feedback_record", "record_id")
+        .unionByName(part(themes.select("theme_id", "deleted_at", "set_id").join(theme_sets, "set_id", "left"), "theme", "theme_id"))
+        .unionByName(part(insights.select("insight_id", "deleted_at", "set_id").join(insight_sets, "set_id", "left"), "insight", "insight_id"))
+    )
+    asked = citations.select("object_type", "object_id").distinct()
+    return asked.join(objects, ["object_type", "object_id"], "left").select("object_type", "object_id", F.col("deleted").isNotNull().alias("known"), F.coalesce("deleted", F.lit(False)).alias("deleted"), "run_id")
+
+
+def latest_run_by_type(runs: DataFrame, datasets: DataFrame, types: tuple[str, ...] = ("classification", "retrieval", "theme", "grounding")) -> DataFrame:
+    """(evaluation_type, run_id, status, at): the newest run (run_id, dataset_id, status, at) of each type of data set (dataset_id, evaluation_type); nulls where a type has none."""
+    newest = runs.join(datasets.select("dataset_id", "evaluation_type"), "dataset_id").groupBy("evaluation_type").agg(F.max_by(F.struct("run_id", "status", "at"), F.struct("at", "run_id")).alias("r"))
+    kinds = runs.sparkSession.createDataFrame([(t,) for t in types], "evaluation_type string")
+    return kinds.join(newest, "evaluation_type", "left").select("evaluation_type", "r.run_id", "r.status", "r.at")
+
+
+def review_queue(labels: DataFrame, analyses: DataFrame, records: DataFrame, dimensions: DataFrame, taxonomy: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
+    """The unreviewed labels, the least sure first: (label_id, confidence, record_id, excerpt, dimension, dimension_name, label, label_name)."""
+    open_ = labels.where("review_status = 'unreviewed'").select("label_id", "analysis_id", "dimension", "label", "confidence")
+    whole = open_.join(analyses.select("analysis_id", "record_id"), "analysis_id").join(dimensions.select("dimension", "dimension_name"), "dimension").join(taxonomy.select("dimension", "label", "label_name"), ["dimension", "label"])
+    page = whole.join(records.select("record_id", F.substring("redacted", 1, 240).alias("excerpt")), "record_id")
+    return page.orderBy("confidence", "label_id").offset(offset).limit(limit).select("label_id", "confidence", "record_id", "excerpt", "dimension", "dimension_name", "label", "label_name")
+
+
+def added_items(dataset: DataFrame, items: DataFrame) -> DataFrame:
+    """items with accepted: false where their data set (dataset_id, status, partition) is locked or unknown, and blind_test, whose texts no prompt may hold."""
+    known = dataset.select("dataset_id", (F.col("status") != "locked").alias("_open"), (F.col("partition") == "blind_test").alias("_blind"))
+    return items.join(known, "dataset_id", "left").withColumn("accepted", F.coalesce("_open", F.lit(False))).withColumn("blind_test", F.coalesce("_blind", F.lit(False))).drop("_open", "_blind")
+
+
+def unresolved(references: DataFrame, **objects: DataFrame) -> DataFrame:
+    """references (object_type, object_id, ...) that lead to no row: ``objects`` gives, by type, a frame whose first column is the key."""
+    keys = reduce(DataFrame.unionByName, (df.select(F.lit(kind).alias("object_type"), F.col(df.columns[0]).cast("string").alias("object_id")) for kind, df in objects.items()))
+    return references.withColumn("object_id", F.col("object_id").cast("string")).join(keys.distinct(), ["object_type", "object_id"], "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.text import causal, demographic, located, stripped
 
 PLACEHOLDER = "[removed: unsupported inference]"
+NOT_ENOUGH = "There is not enough retrieved evidence in the current dataset to answer this question. Try broadening the question, removing filters, or expanding the analyzed dataset."  # fixed value
 
 
 def resolved_citations(findings: DataFrame, package: DataFrame) -> DataFrame:
@@ -21,15 +22,15 @@ def resolved_citations(findings: DataFrame, package: DataFrame) -> DataFrame:
 
 
 def validated(findings: DataFrame, package: DataFrame) -> DataFrame:
-    """findings (finding_id, answer_id, statement, labels) with resolved, dropped, redacted, support_status and warnings."""
+    """findings (finding_id, answer_id, statement, labels) with resolved, dropped, redacted, support_status and warnings, "type:severity" in the order of the checks."""
     counts = resolved_citations(findings, package).groupBy("finding_id").agg(F.count("*").alias("resolved"))
     df = findings.join(counts, "finding_id", "left").withColumn("resolved", F.coalesce("resolved", F.lit(0).cast("long")))
     df = df.withColumn("dropped", F.coalesce(F.size("labels"), F.lit(0)) - F.col("resolved")).withColumn("redacted", demographic(F.col("statement")))
     warnings = F.array(
-        F.when(F.col("redacted"), "demographic_inference:error"),
+        F.when(F.col("dropped") > 0, "unresolvable_citation:warning"),
+        F.when(F.col("redacted"), "possible_demographic_inference:error"),
         F.when(~F.col("redacted") & causal(F.col("statement")), "causal_overclaim:warning"),
-        F.when(F.col("dropped") > 0, "unresolved_citation:warning"),
-        F.when(~F.col("redacted") & (F.col("resolved") == 0), "no_citation:warning"),
+        F.when(~F.col("redacted") & (F.col("resolved") == 0), "insufficient_evidence:warning"),
     )
     return df.withColumn("warnings", F.array_compact(warnings)).withColumn("support_status", F.when(F.col("redacted") | (F.col("resolved") == 0), "unsupported").otherwise("supported")).withColumn("statement", F.when(F.col("redacted"), PLACEHOLDER).otherwise(F.col("statement")))
 
@@ -65,7 +66,7 @@ def guarded(text: Column) -> Column:
 
 def persisted_labels(found: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """found (record_id, text, dimension, label, confidence, excerpt) that the taxonomy knows and no demographic excerpt spoils, with the excerpt's place."""
-    kept = found.where(~demographic(F.coalesce("excerpt", F.lit("")))).join(F.broadcast(taxonomy), ["dimension", "label"], "left_semi")
+    kept = found.where(~demographic(F.coalesce("excerpt", F.lit("")))).join(taxonomy, ["dimension", "label"], "left_semi")
     return kept.withColumn("_at", located(F.col("text"), F.col("excerpt"))).select("record_id", "dimension", "label", "confidence", F.col("_at.start").alias("start_offset"), F.col("_at.end").alias("end_offset"))
 
 
@@ -74,3 +75,9 @@ def keyword_labels(records: DataFrame, rules: dict[tuple[str, str], str]) -> Dat
     hits = [F.when(F.contains(F.lower("text"), F.lit(word)), F.struct(F.lit(d).alias("dimension"), F.lit(name).alias("label"), F.lit(word).alias("excerpt"))) for (d, name), word in rules.items()]
     spread = records.withColumn("_l", F.explode(F.array_compact(F.array(*hits))))
     return spread.select("record_id", "text", "_l.dimension", "_l.label", (0.4 + (F.col("record_id") % 6) / 10.0).alias("confidence"), "_l.excerpt")
+
+
+def unanswered(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The fixed answer of each question (question_id) that no evidence (question_id, ...) was found for: one warning, nothing cited."""
+    empty = questions.select("question_id").join(evidence.select("question_id"), "question_id", "left_anti")
+    return empty.select("question_id", F.lit(NOT_ENOUGH).alias("answer_text"), F.lit("passed_with_warnings").alias("grounding_status"), F.lit(0).alias("citation_count"), F.lit(1).alias("warning_count"), F.lit("insufficient_evidence").alias("warning_type"))

@@ -14,8 +14,13 @@ LEAST_NEAR, NEAR = 20, 0.85
 
 
 def canonical(raw: DataFrame, code: Column | None = None) -> DataFrame:
-    """raw (record_id, connector, text, ...) with the record's derived columns, in the fixed order of the rules."""
-    df = raw.withColumn("normalized", text.normalized(F.col("text")))
+    """raw (record_id, connector, text, ...) with the record's derived columns, in the fixed order of the rules.
+
+    The normalised text comes out of a generator over one element, which the optimizer doesn't
+    see through: every rule and filter reads the one value instead of working it out again.
+    """
+    once = F.array(F.struct(text.normalized(F.col("text")).alias("normalized")))
+    df = raw.select("*", F.inline(once))
     df = df.withColumn("language", text.language(F.col("normalized"), text.guessed_language(F.col("normalized")) if code is None else code))
     df = df.withColumn("_done", privacy.redacted(F.col("normalized"))).withColumn("redacted", F.col("_done.redacted")).withColumn("events", F.col("_done.events")).drop("_done")
     df = df.withColumn("content_hash", text.content_hash(F.col("normalized")))
@@ -27,6 +32,19 @@ def eligible(df: DataFrame) -> DataFrame:
     return df.where(F.col("quality").isin("usable", "low_information") & ~F.col("relevance").isin("insufficient_content", "spam_or_promotion") & F.col("deleted_at").isNull())
 
 
+def unclassified(records: DataFrame, done: DataFrame, most: int | None = None) -> DataFrame:
+    """Eligible records without a classification (record_id), oldest first where ``most`` are asked for."""
+    left = eligible(records).join(done.select("record_id"), "record_id", "left_anti")
+    return left if most is None else left.orderBy("record_id").limit(most)
+
+
+def pending_media(records: DataFrame, connector: str | None = None, most: int | None = None) -> DataFrame:
+    """Records with media that nothing was extracted from yet, oldest first. An empty extracted text says that it failed, and isn't tried again."""
+    df = records.where("media_url is not null and extracted_media_text is null and deleted_at is null")
+    df = df if connector is None else df.where(F.col("connector") == connector)
+    return df if most is None else df.orderBy("record_id").limit(most)
+
+
 def exact_duplicates(records: DataFrame) -> DataFrame:
     """(record_id, canonical_id, duplicate_type): each record whose hash an earlier, not deleted record has, of whatever connector.
 
@@ -45,31 +63,31 @@ def token_classes(records: DataFrame) -> DataFrame:
     return sets.groupBy("scope", "words").agg(F.min("record_id").alias("class_id"), F.count("*").alias("members"))
 
 
-def similar_classes(classes: DataFrame, threshold: float = NEAR) -> DataFrame:
-    """(scope, a, b, similarity), a < b: pairs of different token sets of one scope whose Jaccard likeness reaches the threshold.
+def similar_classes(classes: DataFrame, least: float = NEAR) -> DataFrame:
+    """(scope, a, b, similarity), a < b: pairs of different token sets of one scope whose Jaccard likeness reaches ``least``.
 
     Prefix filtering: tokens are ordered from the rarest, and two sets as like as that must
-    share one among their first size - ceil(threshold * size) + 1. Sizes and places are tested
+    share one among their first size - ceil(least * size) + 1. Sizes and places are tested
     in the join, whole sets right after it.
     """
     spread = classes.select("scope", "class_id", F.size("words").alias("n"), F.explode("words").alias("word"))
     counted = spread.join(stored(spread.groupBy("scope", "word").agg(F.count("*").alias("df"))), ["scope", "word"])
     ordered = counted.groupBy("scope", "class_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "word"))).alias("sorted"))
     ordered = stored(ordered.withColumn("words", F.transform("sorted", lambda x: x["word"])).drop("sorted"))
-    prefix = F.slice("words", 1, (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
+    prefix = F.slice("words", 1, (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
     keyed = ordered.select("scope", "class_id", "n", F.posexplode(prefix).alias("at", "word"))
     a, b = keyed.alias("a"), keyed.alias("b")
     most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    need = F.ceil(threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")))
-    fits = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold) & (most >= need - F.least("a.at", "b.at"))
+    need = F.ceil(least / (1 + least) * (F.col("a.n") + F.col("b.n")))
+    fits = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least) & (most >= need - F.least("a.at", "b.at"))
     pairs = a.join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.class_id") < F.col("b.class_id")) & fits)
     pairs = pairs.select("a.scope", F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct()
     sets = ordered.select("scope", "class_id", "words")
     whole = pairs.join(sets.select("scope", F.col("class_id").alias("a"), F.col("words").alias("x")), ["scope", "a"]).join(sets.select("scope", F.col("class_id").alias("b"), F.col("words").alias("y")), ["scope", "b"])
-    return whole.withColumn("similarity", text.jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= threshold).select("scope", "a", "b", "similarity")
+    return whole.withColumn("similarity", text.jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= least).select("scope", "a", "b", "similarity")
 
 
-def near_duplicates(records: DataFrame, threshold: float = NEAR, scope: str = "connector") -> DataFrame:
+def near_duplicates(records: DataFrame, least: float = NEAR, scope: str = "connector") -> DataFrame:
     """(record_id, canonical_id, similarity): each record that is, in order of record_id, like an earlier primary one of its scope.
 
     A record is primary if no earlier primary is like it; else it belongs to the one most like
@@ -77,10 +95,10 @@ def near_duplicates(records: DataFrame, threshold: float = NEAR, scope: str = "c
     Records decide in rounds: those whose earlier neighbours have all decided. Records of one
     token set decide as one, since its first member always decides for the rest.
     """
-    fit = records.where(F.length(text.stripped(F.col("normalized"))) >= LEAST_NEAR).select(F.col(scope).alias("scope"), "record_id", text.tokens(F.col("normalized")).alias("words"))
+    fit = records.where(F.length("normalized") >= LEAST_NEAR).select(F.col(scope).alias("scope"), "record_id", text.tokens(F.col("normalized")).alias("words"))
     fit = stored(fit.withColumn("words", F.sort_array("words")))
     classes = stored(token_classes(fit))
-    links = stored(similar_classes(classes, threshold))
+    links = stored(similar_classes(classes, least))
     # b is the later of the two; its state follows from the a's
     state = stored(links.select("scope", F.col("a").alias("id")).union(links.select("scope", F.col("b").alias("id"))).distinct().withColumn("primary", F.lit(None).cast("boolean")))
     while state.where("primary is null").limit(1).count():
@@ -98,11 +116,11 @@ def near_duplicates(records: DataFrame, threshold: float = NEAR, scope: str = "c
     return best.select("record_id", F.col("best.canonical_id").alias("canonical_id"), F.col("best.similarity").alias("similarity"))
 
 
-def duplicate_links(records: DataFrame, threshold: float = NEAR) -> DataFrame:
+def duplicate_links(records: DataFrame, least: float = NEAR) -> DataFrame:
     """A link for each duplicate: exact ones first, near ones among the records that are none."""
     exact = stored(exact_duplicates(records))
     rest = records.join(exact.select("record_id"), "record_id", "left_anti").where("deleted_at is null")
-    near = near_duplicates(rest, threshold).withColumn("duplicate_type", F.lit("near"))
+    near = near_duplicates(rest, least).withColumn("duplicate_type", F.lit("near"))
     links = exact.withColumn("similarity", F.lit(1.0)).unionByName(near)
     return links.select("record_id", "canonical_id", "duplicate_type", "similarity", F.lit("rule").alias("method"), F.lit(1).alias("version"))
 
@@ -116,5 +134,5 @@ def summary(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("processed"), F.count_if(~F.col("is_primary_for_counts")).alias("duplicates"), F.count_if(F.col("quality") == "malformed").alias("malformed"))
 
 
-def prefix_length(n: int, threshold: float = NEAR) -> int:
-    return n - math.ceil(n * threshold) + 1
+def prefix_length(n: int, least: float = NEAR) -> int:
+    return n - math.ceil(n * least) + 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedloom.functions.text import clamped
+from feedloom.storage import stored
 
 REPRESENTATIVES, TAGS, RECENT_DAYS = 5, 20, 90
 MIDDLE_SEVERITY = 2.0
@@ -42,11 +43,20 @@ def memberships(vectors: DataFrame, representatives: int = REPRESENTATIVES) -> D
 
 
 def ranked(scored: DataFrame, representatives: int = REPRESENTATIVES) -> DataFrame:
-    """scored (theme_id, record_id, membership_score, ...) with rank and the two marks. A theme is sorted in one task, which spills."""
-    by = Window.partitionBy("theme_id").orderBy(F.desc("membership_score"), "record_id")
-    df = scored.withColumn("rank", F.row_number().over(by)).withColumn("_n", F.count("*").over(Window.partitionBy("theme_id")))
-    df = df.withColumn("is_representative", F.col("rank") <= F.least(F.lit(representatives), F.col("_n")))
-    return df.withColumn("is_counterexample", (F.col("rank") == F.col("_n")) & ~F.col("is_representative")).drop("_n")
+    """scored (theme_id, record_id, membership_score, ...) with rank and the two marks.
+
+    The rows are put in order by ranges of (theme, score, record), so that a theme may cover many parts; each part
+    ranks its own rows, and the rows of a theme in the parts before are summed. No task has a whole theme.
+    """
+    order = (F.desc("membership_score"), F.asc("record_id"))
+    dealt = stored(scored.repartitionByRange("theme_id", *order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("theme_id", "_part").agg(F.count("*").alias("_rows"))
+    along = Window.partitionBy("theme_id").orderBy("_part")
+    before = counts.select("theme_id", "_part", (F.sum("_rows").over(along) - F.col("_rows")).alias("_before"), F.sum("_rows").over(Window.partitionBy("theme_id")).alias("_n"))
+    own = Window.partitionBy("theme_id", "_part").orderBy(*order)
+    df = dealt.withColumn("_place", F.row_number().over(own)).join(before, ["theme_id", "_part"])
+    df = df.withColumn("rank", (F.col("_before") + F.col("_place")).cast("int")).withColumn("is_representative", F.col("rank") <= F.least(F.lit(representatives), F.col("_n")))
+    return df.withColumn("is_counterexample", (F.col("rank") == F.col("_n")) & ~F.col("is_representative")).drop("_n", "_part", "_place", "_before")
 
 
 def metrics(members: DataFrame, themes: DataFrame, severities: DataFrame, eligible: int, connectors: int, as_of: str) -> DataFrame:
@@ -74,7 +84,7 @@ def metrics(members: DataFrame, themes: DataFrame, severities: DataFrame, eligib
         "severity": clamped(F.coalesce("average_severity", F.lit(MIDDLE_SEVERITY)) / 5),
         "recency": F.col("recency_share"),
         "source_breadth": clamped(F.col("source_breadth") / float(max(1, connectors))),
-        "confidence": F.coalesce(F.col("confidence"), F.lit(0.5)),
+        "confidence": clamped(F.coalesce(F.col("confidence"), F.lit(0.5))),
         "discovery_relevance": F.when(F.col("theme_type").isin(*DISCOVERY_TYPES), 0.9).otherwise(0.5),
         "actionability": clamped(0.5 + F.when(F.col("has_counterexample"), 0.2).otherwise(0.0) + 0.2 * F.coalesce("coherence", F.lit(0.0))),
     }
@@ -83,11 +93,19 @@ def metrics(members: DataFrame, themes: DataFrame, severities: DataFrame, eligib
     return df.withColumn("opportunity_score", 100 * score).drop("recent", "sources")
 
 
-def metric_rows(scored: DataFrame) -> DataFrame:
-    """(theme_id, metric_key, numeric_value): numeric metrics one to a row; nulls have none."""
-    keys = ("record_count", "record_share", "source_breadth", "recency_share", "coherence")
-    wide = scored.select("theme_id", *(F.col(k).cast("double").alias(k) for k in keys))
-    return wide.unpivot("theme_id", list(keys), "metric_key", "numeric_value").where("numeric_value is not null")
+def metric_rows(scored: DataFrame, members: DataFrame) -> DataFrame:
+    """(theme_id, metric_key, numeric_value, json_value): the metrics that are kept, one to a row; nulls have none.
+
+    source_distribution has no number but a JSON object: the theme's connectors in order, each with null.
+    """
+    keys = {"record_count": "record_count", "record_share": "record_share", "source_breadth": "source_breadth", "coherence_score": "coherence", "opportunity_score": "opportunity_score"}
+    wide = scored.select("theme_id", *(F.col(c).cast("double").alias(k) for k, c in keys.items()))
+    numbers = wide.unpivot("theme_id", list(keys), "metric_key", "numeric_value").where("numeric_value is not null").withColumn("json_value", F.lit(None).cast("string"))
+    known = members.groupBy("theme_id").agg(F.sort_array(F.collect_set("connector")).alias("connectors"))
+    names = scored.select("theme_id").join(known, "theme_id", "left").select("theme_id", F.coalesce("connectors", F.array().cast("array<string>")).alias("connectors"))
+    entries = F.map_from_arrays("connectors", F.transform("connectors", lambda c: F.lit(None).cast("string")))
+    spread = names.select("theme_id", F.lit("source_distribution").alias("metric_key"), F.lit(None).cast("double").alias("numeric_value"), F.to_json(entries, {"ignoreNullFields": "false"}).alias("json_value"))
+    return numbers.unionByName(spread)
 
 
 def source_counts(members: DataFrame) -> DataFrame:

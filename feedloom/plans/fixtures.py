@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.operators import records as rec
+from feedloom.storage import spread
 
 AS_OF = "2024-12-31"
 #: Theme types and confidences of the ten labels; label 9 stands for outliers.
@@ -15,7 +16,7 @@ THEMES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,10 +48,23 @@ def tx06_redactions(spark, sf_dir):
     return privacy.redaction_events(records(spark, sf_dir))
 
 
-@query(f"with {RAW_SQL} select record_id, contains(lower(text), 'elderly') or contains(lower(text), 'teenage') or contains(lower(text), 'housewife') as demographic, contains(lower(text), 'causes') or contains(lower(text), 'leads to') or contains(lower(text), 'led to') or contains(lower(text), 'causing') as causal, nullif(strpos(text, 'the') - 1, -1) as first_the, substr(text, 1, 240) as excerpt, case when (record_id % 100) / 100.0 >= 0.8 then 'high' when (record_id % 100) / 100.0 >= 0.55 then 'medium' else 'low' end as bucket from raw")
+def _any_of(phrases):
+    return "(" + " or ".join(f"contains(lower(text), '{p}')" for p in phrases) + ")"
+
+
+#: Every document with one guarded phrase put before its text, each phrase in turn.
+GUARDED = (*text.DEMOGRAPHIC, *text.CAUSAL, "nothing of the kind")
+GUARDED_SQL = "guarded as (select record_id, [" + ", ".join(f"'{p}'" for p in GUARDED) + f"][(record_id % {len(GUARDED)} + 1)::int] || ' ' || text as text from raw)"
+
+
+@query(
+    f"with {RAW_SQL}, {GUARDED_SQL} select record_id, {_any_of(text.DEMOGRAPHIC)} as demographic, {_any_of(text.CAUSAL)} as causal, nullif(strpos(text, 'the') - 1, -1) as first_the, substr(text, 1, 240) as excerpt, "
+    "case when (record_id % 100) / 100.0 >= 0.8 then 'high' when (record_id % 100) / 100.0 >= 0.55 then 'medium' else 'low' end as bucket from guarded"
+)
 def tx15_guards_and_offsets(spark, sf_dir):
     t = F.col("text")
-    return raw(spark, sf_dir).select(
+    phrase = F.get(F.array(*map(F.lit, GUARDED)), (F.col("record_id") % len(GUARDED)).cast("int"))
+    return raw(spark, sf_dir).withColumn("text", F.concat_ws(" ", phrase, "text")).select(
         "record_id", text.demographic(t).alias("demographic"), text.causal(t).alias("causal"), text.located(t, F.lit("the"))["start"].cast("long").alias("first_the"), text.excerpt(t, 240).alias("excerpt"), text.confidence_bucket((F.col("record_id") % 100) / 100.0).alias("bucket")
     )
 
@@ -105,7 +118,7 @@ def fl01_eligible(spark, sf_dir):
 @query(WITH_RECORDS + f"select record_id from records r where {ELIGIBLE_SQL} and not exists (select 1 from labels l where l.doc_id = r.record_id)")
 def fl02_unclassified(spark, sf_dir):
     done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("record_id"))
-    return rec.eligible(records(spark, sf_dir)).join(done, "record_id", "left_anti").select("record_id")
+    return rec.unclassified(records(spark, sf_dir), done).select("record_id")
 
 
 @query(f"with {RAW_SQL} select record_id from raw where published_at >= timestamp '2024-02-01' and published_at <= timestamp '2024-03-01' and connector = (select min(source) from documents)")
@@ -196,7 +209,7 @@ def tx11_page_text(spark, sf_dir):
 
 @query(
     r"""with l as (select page_id, url, unnest(regexp_extract_all(html, 'href="([^"#]+)', 1)) as h from pages),
-    w as (select page_id, case when regexp_matches(h, '^https?://') then h when regexp_matches(h, '^/[^/]|^/$') then regexp_extract(url, '^([a-z]+)://', 1) || '://' || lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) || h end as link from l)
+    w as (select page_id, case when regexp_matches(h, '^https?://') then h when regexp_matches(h, '^/[^/]|^/$') then regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || h end as link from l)
     select distinct page_id, link from w where link is not null"""
 )
 def tx12_links(spark, sf_dir):
@@ -205,24 +218,43 @@ def tx12_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(links(F.col("url"), F.col("html"))).alias("link"))
 
 
+#: Hosts that are tried beside those of the pages, and whether each may be fetched.
+HOSTS = {
+    "10.0.0.1": False, "user@10.0.0.1": False, "user:pw@example.org": True, "[::1]": False, "[2001:4860:4860::8888]": False, "2130706433": False, "0x7f000001": False, "0177.0.0.1": False, "127.1": False,
+    "8.8.8.8": True, "8.8.8.8:443": True, "172.15.0.1": True, "172.16.0.1": False, "172.31.255.255": False, "172.32.0.1": True, "169.254.169.254": False, "192.168.1.1": False, "100.64.0.1": False,
+    "224.0.0.1": False, "255.255.255.255": False, "0.0.0.0": False, "localhost": False, "api.localhost": False, "EXAMPLE.org": True, "a.example.org.": True, "": False, "exa mple.org": False, "10.0.0.1.example.org": True,
+}
+
+
 @query(
-    r"""select page_id, coalesce(regexp_extract(url, '^([a-z]+)://', 1) in ('https', 'http') and lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) <> '' and not regexp_matches(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^(localhost|127\..*|10\..*|192\.168\..*)$'), false) as safe from pages"""
+    "with h as (select unnest([" + ", ".join(f"{{'h': '{h}', 'ok': {str(ok).lower()}}}" for h, ok in HOSTS.items()) + "]) as x), p as (select page_id, url from pages where url is not null) "
+    "select scheme || '://' || x.h || '/a' as url, x.ok and scheme = 'https' as safe from h, (values ('https'), ('http'), ('ftp')) s(scheme) union all select url, starts_with(url, 'https://') from p"
 )
 def src14_safe_urls(spark, sf_dir):
     from feedloom.sources.web import safe
 
-    return table(spark, sf_dir, "pages").select("page_id", safe(F.col("url"), http=True).alias("safe"))
+    tried = spark.createDataFrame([(f"{s}://{h}/a",) for s in ("https", "http", "ftp") for h in HOSTS], "url string")
+    urls = tried.union(table(spark, sf_dir, "pages").where("url is not null").select("url"))
+    return urls.select("url", safe(F.col("url")).alias("safe"))
 
 
-@query()
+@query(
+    r"""with recursive l as (select distinct url, unnest(regexp_extract_all(html, 'href="([^"#]+)', 1)) as h from pages),
+    w as (select url, case when regexp_matches(h, '^https?://') then h when regexp_matches(h, '^/[^/]|^/$') then regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || h end as target from l),
+    e as (select distinct w.url, w.target from w join (select distinct url from pages) p on p.url = w.target where regexp_extract(w.url, '^[a-z]+://([^/]*)', 1) = regexp_extract(w.target, '^[a-z]+://([^/]*)', 1)),
+    seeds as (select min(url) as url from pages where url is not null group by regexp_extract(url, '^[a-z]+://([^/]*)', 1)),
+    walk as (select url, 0 as depth from seeds union select e.target, walk.depth + 1 from walk join e using (url) where walk.depth < 2)
+    select url, min(depth)::int as depth from walk group by url"""
+)
 def src11_crawl(spark, sf_dir):
-    from feedloom.sources.web import crawl
+    from feedloom.sources.web import crawl, host
 
     p = table(spark, sf_dir, "pages").select("url", "html")
-    return crawl(p, p.where("url is not null").select("url").orderBy("url").limit(5))
+    seeds = p.where("url is not null").groupBy(host(F.col("url")).alias("host")).agg(F.min("url").alias("url"))
+    return crawl(p, seeds)
 
 
-@query("select s as status, case when s in (401, 403) then 'authentication' when s = 404 then 'not_found' when s = 408 then 'timeout' when s = 429 then 'rate_limited' when s >= 500 then 'unavailable' when s >= 400 then 'invalid_request' end as error, s in (408, 429) or s >= 500 as retryable from (select (200 + doc_id % 400)::bigint as s from documents)")
+@query("select s as status, case when s in (401, 403) then 'auth' when s = 429 then 'rate_limited' when s between 500 and 599 then 'transient' when s >= 400 then 'unavailable' end as error, s = 429 or s between 500 and 599 as retryable from (select (200 + doc_id % 400)::bigint as s from documents)")
 def src15_error_classes(spark, sf_dir):
     from feedloom.sources.landing import error_class
 

@@ -9,6 +9,7 @@ from feedloom.operators import records as rec
 from feedloom.operators import themes as th
 from feedloom.plans.fixtures import AS_OF, LABELS_SQL, MEMBERS_SQL, RAW_SQL, RECORDS_SQL, THEMES_SQL, labels, memberships, raw, records, table, themes, vectors
 from feedloom.plans.registry import query
+from feedloom.storage import stored
 
 WITH_MEMBERS = f"with {MEMBERS_SQL} "
 SUPPORT_SQL = f"""with {MEMBERS_SQL}, {THEMES_SQL},
@@ -47,9 +48,14 @@ def ag13_theme_metrics(spark, sf_dir):
     return _rounded(s.select("theme_id", "record_count", "record_share", "source_breadth", "recency_share", "coherence", "opportunity_score"), "record_share", "recency_share", "coherence", "opportunity_score")
 
 
-@query(SUPPORT_SQL + "select theme_id, metric_key, round(numeric_value, 6) as numeric_value from (select theme_id, unnest(['record_count', 'record_share', 'source_breadth', 'recency_share', 'coherence']) as metric_key, unnest([record_count::double, record_share, source_breadth::double, recency_share, coherence]) as numeric_value from scored) where numeric_value is not null")
+@query(
+    SUPPORT_SQL
+    + """select theme_id, metric_key, round(numeric_value, 6) as numeric_value, null::varchar as json_value from (select theme_id, unnest(['record_count', 'record_share', 'source_breadth', 'coherence_score', 'opportunity_score']) as metric_key,
+      unnest([record_count::double, record_share, source_breadth::double, coherence, opportunity_score]) as numeric_value from scored) where numeric_value is not null
+    union all select theme_id, 'source_distribution', null, '{' || coalesce(string_agg('"' || connector || '":null', ',' order by connector), '') || '}' from themes left join (select distinct theme_id, connector from members) using (theme_id) group by theme_id"""
+)
 def ag14_metric_rows(spark, sf_dir):
-    return _rounded(th.metric_rows(_scored(spark, sf_dir)), "numeric_value")
+    return _rounded(th.metric_rows(_scored(spark, sf_dir), memberships(spark, sf_dir)), "numeric_value")
 
 
 @query(WITH_MEMBERS + "select theme_id, connector, count(*) as records from members group by all")
@@ -106,7 +112,10 @@ QUERY_SQL = "q as (select embedding::double[] as q from embeddings where vec_id
 
 
 def _query_vector(spark, sf_dir):
-    return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"])
+    asked = table(spark, sf_dir, "embeddings").where("vec_id = 0").first()
+    if asked is None:
+        raise ValueError("the question's vector (vec_id 0) isn't there")
+    return list(asked["embedding"])
 
 
 @query(f"with {QUERY_SQL} select vec_id as record_id, round(greatest(0, list_cosine_similarity(embedding::double[], q)), 6) as similarity from embeddings, q")
@@ -125,7 +134,7 @@ scored as (select *, 0.6 * similarity + 0.4 * case when (max(keyword) over ()) =
 
 def _candidates(spark, sf_dir):
     r = rec.eligible(records(spark, sf_dir)).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), "embedding"), "record_id")
-    return retrieval.candidates(r.select("record_id", "connector", F.col("normalized").alias("redacted"), "embedding"), _query_vector(spark, sf_dir), "the")
+    return stored(retrieval.candidates(r.select("record_id", "connector", F.col("normalized").alias("redacted"), "embedding"), _query_vector(spark, sf_dir), "the"))  # 40 rows, which selection reads several times
 
 
 @query(CANDIDATES_SQL + " select record_id, connector, round(similarity, 6) as similarity, round(keyword, 6) as keyword, round(score, 6) as score from scored")
@@ -139,13 +148,16 @@ def vc10_hybrid_candidates(spark, sf_dir):
     + """, s as (select *, row_number() over (partition by connector order by score desc, record_id) as k from scored),
     p as (select *, k <= 2 as fits, row_number() over (partition by k <= 2 order by score desc, record_id) as place from s),
     m as (select *, fits and place <= 12 as chosen, record_id % 5 = 0 as ce from p),
-    f as (select *, not (select bool_or(chosen and ce) from m) and ce and not chosen and row_number() over (partition by ce and not chosen order by score desc, record_id) = 1 as forced from m)
-    select record_id, chosen or forced as selected, forced from f"""
+    f as (select *, not (select bool_or(chosen and ce) from m) and ce and not chosen and row_number() over (partition by ce and not chosen order by score desc, record_id) = 1 as forced from m),
+    t as (select *, coalesce(count(*) filter (fits) over (order by score desc, record_id rows between unbounded preceding and 1 preceding), 0) as taken from f),
+    u as (select *, case when chosen or forced then 'selected' else 'excluded' end as stage from t)
+    select record_id, stage, forced, case when stage = 'excluded' then case when taken >= 12 then 'context_size_cap' else 'source_concentration_cap' end end as reason,
+      case when stage = 'selected' then 'E' || row_number() over (partition by stage order by forced, score desc, record_id) end as label from u"""
 )
 def wn05_selected_evidence(spark, sf_dir):
     c = _candidates(spark, sf_dir)
     ce = c.where("record_id % 5 = 0").select("record_id")
-    return retrieval.selected(c, ce, per_source=2).select("record_id", (F.col("stage") == "selected").alias("selected"), "forced")
+    return retrieval.selected(c, ce, per_source=2).select("record_id", "stage", "forced", "reason", "label")
 
 
 @query(SUPPORT_SQL + "select theme_id, 'T' || row_number() over (order by opportunity_score desc nulls last, theme_id) as label from scored order by opportunity_score desc nulls last, theme_id limit 3")
@@ -175,10 +187,10 @@ def _findings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(i.alias("finding_id"), (i % 50).alias("answer_id"), statement.alias("statement"), cited.alias("labels")), package
 
 
-@query(f"with {FINDINGS_SQL} select finding_id, resolved, dropped::bigint as dropped, redacted, case when redacted or resolved = 0 then 'unsupported' else 'supported' end as support_status, case when redacted then 1 else 0 end + case when causal and not redacted then 1 else 0 end + dropped + case when not redacted and resolved = 0 then 1 else 0 end as n_warnings from v")
+@query(f"with {FINDINGS_SQL} select finding_id, resolved, dropped::bigint as dropped, redacted, case when redacted or resolved = 0 then 'unsupported' else 'supported' end as support_status, array_to_string(list_filter([case when dropped > 0 then 'unresolvable_citation:warning' end, case when redacted then 'possible_demographic_inference:error' end, case when causal and not redacted then 'causal_overclaim:warning' end, case when not redacted and resolved = 0 then 'insufficient_evidence:warning' end], lambda w: w is not null), ',') as warnings from v")
 def qa04_validated_findings(spark, sf_dir):
     v = grounding.validated(*_findings(spark, sf_dir))
-    return v.select("finding_id", "resolved", F.col("dropped").cast("long").alias("dropped"), "redacted", "support_status", F.size("warnings").alias("n_warnings"))
+    return v.select("finding_id", "resolved", F.col("dropped").cast("long").alias("dropped"), "redacted", "support_status", F.array_join("warnings", ",").alias("warnings"))
 
 
 @query(
@@ -259,11 +271,13 @@ def ag16_run_metrics(spark, sf_dir):
 @query(
     GRADED_SQL
     + """, bad as (select distinct grader from g where hard_failure or (not passed and grader in ('insufficient_evidence_policy', 'cross_version_contamination', 'deleted_object_retrieval', 'representative_evidence')))
-    select case when count(*) > 0 then 'fail' else 'other' end as status, count(*) as failures from bad"""
+    select case when count(*) > 0 then 'fail' when (select avg(passed::int) from g where grader = 'causal_overclaim') < 0.9 or (select avg(passed::int) from g where grader = 'duplicate_evidence') < 0.95 then 'pass_with_conditions' else 'pass' end as status,
+    string_agg(grader, ',' order by grader) as failures from bad"""
 )
 def ev17_release_gate(spark, sf_dir):
     gate = evaluation.release_gate(evaluation.run_metrics(_graded(spark, sf_dir)))
-    return gate.select(F.when(F.col("status") == "fail", "fail").otherwise("other").alias("status"), F.size("zero_tolerance_failures").cast("long").alias("failures"))
+    failures = F.when(F.size("zero_tolerance_failures") > 0, F.array_join(F.array_sort("zero_tolerance_failures"), ","))
+    return gate.select("status", failures.alias("failures"))
 
 
 @query(

@@ -3,37 +3,59 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from feedloom.functions.text import stripped
 from feedloom.storage import stored
 
-#: Hosts that stand for private, loopback, link-local, unspecified, multicast or reserved addresses.
-UNSAFE_HOST = r"^(localhost|127\..*|10\..*|192\.168\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|169\.254\..*|0\..*|2(2[4-9]|[3-5][0-9])\..*)$"
+#: The first byte, or first two, of IPv4 addresses that are private, loopback, link-local, shared, multicast, reserved or unspecified.
+OWN_FIRST = ("0", "10", "127", *map(str, range(224, 256)))
+OWN_FIRST_TWO = ("169.254", "192.168", "192.0", "198.18", "198.19", *(f"172.{n}" for n in range(16, 32)), *(f"100.{n}" for n in range(64, 128)))
+#: A plain name: labels of letters, digits and hyphens, the last one not all digits nor a hexadecimal number.
+NAME = r"^([a-z0-9_]([a-z0-9_-]*[a-z0-9_])?\.)*[a-z0-9_]([a-z0-9_-]*[a-z0-9_])?\.?$"
+NUMERIC_END = r"(^|\.)(0x[0-9a-f]*|[0-9]+)\.?$"
+ADDRESS = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
+# What the HTML of pages holds that ask whether the reader is a robot.
+CHALLENGES = ("g-recaptcha", "cf-challenge", "captcha-delivery", 'id="challenge-running"')
 SKIPPED = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside"}
 PAGE = StructType([StructField(n, StringType()) for n in ("title", "body", "author", "date", "site", "status")])
 BLOCKS = {"p", "div", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "article", "section", "td"}
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[a-z]+://([^/:?#]+)", 1))
+    """The host of a URL in lower case: what stands after the user's name, before the port; an address in brackets with them. Empty if there is none."""
+    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)", 1)
+    return F.lower(F.regexp_extract(authority, r"^(?:.*@)?(\[[^\]]*\]|[^:@\[\]]*)(?::[0-9]*)?$", 1))
 
 
 def safe(url: Column, http: bool = False) -> Column:
-    """https (or http) and a host that isn't an address of the own network. Names are not resolved."""
-    scheme = F.regexp_extract(url, r"^([a-z]+)://", 1)
-    return F.coalesce(scheme.isin("https", *(["http"] if http else [])) & (host(url) != "") & ~host(url).rlike(UNSAFE_HOST), F.lit(False))
+    """https (or http) and a host that is a plain name or a public IPv4 address written in four decimal parts.
+
+    Refused: addresses of the own network, in brackets, or in any other notation (one number, octal,
+    hexadecimal), names that end in a number, and localhost. Names are not resolved. Null is unsafe.
+    """
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+
+    def public(h: Column) -> Column:
+        own = F.substring_index(h, ".", 1).isin(*OWN_FIRST) | F.substring_index(h, ".", 2).isin(*OWN_FIRST_TWO)
+        named = h.rlike(NAME) & ~h.rlike(NUMERIC_END) & ~h.rlike(r"(^|\.)localhost\.?$")
+        return (h != "") & (named | (h.rlike(ADDRESS) & ~own))
+
+    return F.coalesce(scheme.isin("https", *(["http"] if http else [])) & F.transform(F.array(host(url)), public)[0], F.lit(False))
 
 
 def links(url: Column, html: Column) -> Column:
     """The distinct http(s) targets of a page; paths from the root are made absolute."""
-    root = F.concat(F.regexp_extract(url, r"^([a-z]+)://", 1), F.lit("://"), host(url))
+    root = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     found = F.regexp_extract_all(html, F.lit('href="([^"#]+)'), F.lit(1))
     whole = F.transform(found, lambda h: F.when(h.rlike("^https?://"), h).when(h.rlike("^/[^/]|^/$"), F.concat(root, h)))
     return F.array_distinct(F.array_compact(whole))
@@ -101,12 +123,32 @@ def page_date(text: Column) -> Column:
 
 
 def items(pages: DataFrame, keep_empty: bool = True) -> DataFrame:
-    """Raw items of pages (url, html); a crawl leaves out the pages without text, a fixed list keeps them."""
-    df = pages.select("url", extracted("html").alias("x")).select(F.sha2("url", 256).alias("external_id"), "url", "x.*")
+    """Raw items of pages (url, html[, content_type]); a crawl leaves out the pages without text, a fixed list keeps them.
+
+    What is declared to be something else than HTML isn't read: its status is wrong_content_type.
+    """
+    html = F.col("html")
+    other = F.lit(False)
+    if "content_type" in pages.columns:
+        other = F.coalesce(~F.lower("content_type").rlike(r"^\s*(text/html|application/xhtml\+xml)\s*(;|$)"), F.lit(False))
+    df = pages.select("url", other.alias("_other"), extracted(F.when(~other, html)).alias("x")).select(F.sha2("url", 256).alias("external_id"), "url", "_other", "x.*")
+    df = df.withColumn("status", F.when(F.col("_other"), "wrong_content_type").otherwise(F.col("status"))).drop("_other")
     df = df.withColumn("published_on", page_date(F.col("date"))).drop("date")
     return df if keep_empty else df.where(stripped(F.coalesce("body", F.lit(""))) != "")
 
 
+def listed(urls: DataFrame, start: int = 0) -> DataFrame:
+    """(url, index) of a fixed list (url, at): each URL once, at its first place; from the index ``start`` on, where a run that was cut off resumes."""
+    first = urls.where("url is not null").groupBy("url").agg(F.min("at").alias("at"))
+    order = Window.orderBy("at", "url")  # a configured list, short by nature
+    return first.withColumn("index", F.row_number().over(order) - 1).where(F.col("index") >= start).select("url", "index")
+
+
+def challenged(html: Column) -> Column:
+    """Whether a page is a barrier to robots and not the page that was asked for."""
+    return F.coalesce(reduce(or_, (F.contains(html, F.lit(m)) for m in CHALLENGES)), F.lit(False))
+
+
 def crawl(pages: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """(url, depth): the pages that links lead to from the seeds (url), on the seeds' hosts, with the least number of steps.
 

@@ -1,15 +1,36 @@
-"""Where lineage is cut."""
+"""Where lineage is cut, and how small tables are dealt out."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, kept in the session's ``spark.checkpoint.dir`` (a temporary folder where it names none, as in tests)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    A local session without one gets a temporary folder; a cluster without one is refused, since its
+    executors couldn't read what others wrote.
+    """
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores, dealt out evenly over them; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
