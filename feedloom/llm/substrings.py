@@ -1,28 +1,27 @@
 """Removal of repeated passages by suffix automata over shards of their first occurrences.
 
-1. Every window of 20 words has an anchor, the least hash among its runs of 9 words, the same
-   wherever the window stands. Anchors are counted; those that occur once belong to windows that
-   occur once.
+1. A window of 20 words has an anchor: the leftmost of its runs of 9 words whose hash is least. Equal
+   windows have equal anchors at equal places. The neighbouring windows of one anchor make a snippet, so a
+   text is a row of snippets, and each of its windows stands in one of them. Anchors are counted; those that occur
+   once have windows that occur once.
 2. A filter of fixed largest size tells a scan of the texts which anchors may occur again (it may
-   err to that side only), and the scan cuts out the chunks of text around them. Where a chunk
-   ends follows from its words, so equal passages give equal chunks. Every window of a chunk
-   that stands earlier, word for word, starts earlier; so only the first of equal chunks is
-   searched further.
-3. The windows of the first chunks are aggregated to the first place of each that occurs again. The
-   first places make up the reference: passages in which each repeated window stands once.
-4. The reference is dealt out in shards. A task builds a shard's suffix automaton and streams
-   through it the chunks that share an anchor with it; where the matching statistic reaches
-   the window's length, the window stands in the reference, and is removed unless it is that
-   very place. Chunks of a shard that many texts share are dealt over several tasks, each with
-   the same automaton.
-
-No step gathers a key's rows: anchors and windows are aggregated before they are shuffled.
+   err to that side only: a full filter costs time, never a window). Their snippets are dealt, by anchor, over shards.
+3. A shard's task goes through its snippets in the order of the documents. Each is streamed through the suffix
+   automaton of the windows that stood first so far; where the matching statistic reaches the
+   window's length, the window has stood before. What is new joins the automaton. So the
+   reference holds each window once, at its first place, and words are compared, not hashes.
+4. Windows of anchors with more than HOT places would make a shard too large. They are
+   aggregated by two hashes to their first place, which combines before the shuffle, and joined with it; adaptive execution
+   can split the join where a window stands in very many documents.
+
+Only snippets, places and counts are shuffled, and each text once, in the end, to meet its spans.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,77 +29,78 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.shared import checkpointed, slices
+from feedloom.llm.shared import slices, written
 
 WINDOW = 20
 GRAM = 9
-#: Windows of a chunk, at least (but for a run's end) and at most, and about so many between the places where one may end.
-SHORT, CHUNK, SPACING = 64, 1_000, 128
-#: Words of a shard, and chunks that a task streams through its automaton, about.
-SHARD, STREAM = 50_000, 2_000
-#: The filter's blocks have 2**16 bits; so many blocks at most (64 MB).
+#: Runs of GRAM words in a window.
+SPAN = WINDOW - GRAM + 1
+#: Snippets of a shard, about, and the most places of an anchor whose snippets go to one.
+SHARD, HOT = 4_000, 1_000
+#: A filter's blocks have 2**16 bits; so many blocks at most (64 MB).
 MOST_BLOCKS = 8_192
+KEYS = "first long, hash long"
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def hashed(words) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64)
 
 
 def rolled(h: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``width`` values."""
+    """A 64-bit hash of each run of ``width`` values, put together from runs of half the width."""
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    factor, out = np.uint64(1), np.zeros(n, np.uint64)
-    for k in range(width):
-        out += h[k : k + n] * factor
-        factor = np.uint64(int(factor) * (0x9E3779B97F4A7C15 + 2 * seed) & 0xFFFFFFFFFFFFFFFF)
+    base = 0x9E3779B97F4A7C15 + 2 * seed
+    times = lambda k: np.uint64(pow(base, k, 1 << 64))
+
+    def run(k: int) -> np.ndarray:
+        if k == 1:
+            return h
+        left, right = k - k // 2, k // 2
+        a = run(left)
+        b = a if right == left else run(right)
+        m = len(h) - k + 1
+        return a[:m] * times(right) + b[left : left + m]
+
+    out = run(width).copy()
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     return out ^ (out >> np.uint64(29))
 
 
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the runs of GRAM words that are the least of some window."""
-    grams = rolled(h, GRAM, 1)
-    n = len(h) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    span = WINDOW - GRAM + 1
-    least = grams[:n].copy()
-    for k in range(1, span):
-        np.minimum(least, grams[k : k + n], out=least)
-    some = np.zeros(len(grams), bool)
-    for k in range(span):
-        some[k : k + n] |= grams[k : k + n] == least
-    at = np.flatnonzero(some)
-    return at, grams[at]
-
-
-def chunks(marked: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(first, last + 1) windows of the words hashed in h, of those windows that hold a marked run's place.
-
-    A chunk ends where the hash of the next GRAM words says so, SHORT windows after its start at
-    the earliest, CHUNK at the latest.
-    """
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbouring values."""
+    have, out = 1, x
+    while have < width:
+        step = min(have, width - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
+
+
+def snippets(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, a, b) of each snippet of the texts whose hashed words stand in h one after another, text t from bounds[t] to bounds[t + 1]: its anchor's hash, and its windows, those that start at a to b - 1."""
     n = len(h) - WINDOW + 1
-    if not len(marked) or n <= 0:
-        return
-    low, high = np.maximum(marked - (WINDOW - GRAM), 0), np.minimum(marked + 1, n)
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, low, 1)
-    np.add.at(edge, high, -1)
-    inside = np.cumsum(edge[:-1]) > 0
-    ends = np.flatnonzero(rolled(h, GRAM, 3)[:n] % np.uint64(SPACING) == 0)
-    turns = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-    for a, b in turns.reshape(-1, 2).tolist():
-        for c in [*ends[np.searchsorted(ends, a + SHORT) : np.searchsorted(ends, b)].tolist(), b]:
-            while c - a > CHUNK:
-                yield a, a + CHUNK
-                a += CHUNK
-            if c - a >= SHORT or c == b:
-                yield a, c
-                a = c
+    whole = np.zeros(max(n, 0), bool)
+    for a, b in zip(bounds, bounds[1:] - WINDOW + 1):
+        whole[a : max(a, b)] = True
+    starts = np.flatnonzero(whole)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, starts
+    grams = rolled(h, GRAM, 1)
+    least = _least(grams, SPAN)
+    want = least[starts]
+    # the leftmost place at which each window's least value stands
+    some = np.concatenate([np.zeros(SPAN - 1, np.uint64), np.where(whole, least, np.uint64(0)), np.zeros(SPAN - 1, np.uint64)])
+    marked = np.flatnonzero(~_least(~some, SPAN)[: len(grams)] == grams)
+    at = np.searchsorted(marked, starts)
+    while len(off := np.flatnonzero(grams[marked[at]] != want)):
+        at[off] += 1
+    place = marked[at]
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+    last = np.concatenate([first[1:], [len(starts)]]) - 1
+    return grams[place[first]], starts[first], starts[last] + 1
 
 
 class Filter:
@@ -142,107 +142,74 @@ def filter_of(keys: DataFrame) -> Filter:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, text) of each row; id: a key of the row's own, in the order of doc_id (nulls first), a hash of the text, a number."""
-    eight = lambda x: F.unhex(F.lpad(F.hex(x), 16, "0"))
-    high = lambda x: eight(x.bitwiseXOR(F.lit(-(1 << 63))))
+    """(first, hash, nil, text) of each row. Rows stand in the order of (first, hash): doc_id, nulls first, then a hash of the text; rows that have both in common are equal."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    first = F.when(F.col("doc_id").isNull(), F.lit(bytes(9))).otherwise(F.concat(F.lit(b"\x01"), high(F.col("doc_id"))))
-    return docs.select("doc_id", F.concat(first, high(F.xxhash64(text)), eight(F.monotonically_increasing_id())).alias("id"), text.alias("text"))
+    nil = F.col("doc_id").isNull()
+    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("first"), F.when(nil, F.xxhash64(text, F.lit(1))).otherwise(F.xxhash64(text)).alias("hash"), nil.alias("nil"), text.alias("text"))
 
 
-def repeated_anchors(texts: DataFrame) -> DataFrame:
-    """(key): the anchors that occur at more than one place."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in slices(batches, "text"):
-            found = [anchors(hashed(t.split()))[1] for t in part["text"]]
-            yield pd.DataFrame({"key": np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)})
-
-    return texts.select("text").mapInPandas(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[bytes], np.ndarray, np.ndarray, tuple]]:
+    """(rows, their words, the words' hashes, bounds, snippets) by slices of the texts."""
+    for part in slices(batches, "text", 4_000_000):
+        texts = [t.split() for t in part["text"]]
+        words = list(chain.from_iterable(texts))
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        h = hashed(words)
+        yield part, words, h, bounds, snippets(h, bounds)
 
 
-def candidate_chunks(texts: DataFrame, marked: Filter) -> DataFrame:
-    """(id, start, n, key, text): chunks of the texts, each with the words of its windows, n of them, whose anchors the filter has; key: a hash of the text."""
-    shared = texts.sparkSession.sparkContext.broadcast((marked.blocks, marked.bits))
+def anchor_counts(texts: DataFrame) -> DataFrame:
+    """(key, n): the anchors that occur at more than one place, with their number of places."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Filter(*shared.value)
-        for part in slices(batches, "text"):
-            rows = []
-            for i, text in zip(part["id"], part["text"]):
-                words = text.split()
-                h = hashed(words)
-                at, keys = anchors(h)
-                for a, b in chunks(at[own.has(keys)], h):
-                    cut = b" ".join(words[a : b + WINDOW - 1])
-                    rows.append((i, a, b - a + WINDOW - 1, xxhash.xxh3_128_digest(cut), cut))
-            yield pd.DataFrame(rows, columns=["id", "start", "n", "key", "text"])
+        for *_, (keys, _, _) in _scanned(batches):
+            yield pd.DataFrame({"key": keys.view(np.int64)})
 
-    return texts.select("id", "text").mapInPandas(run, "id binary, start int, n int, key binary, text binary")
+    return texts.select("text").mapInPandas(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def first_chunks(cut: DataFrame) -> DataFrame:
-    """(key, id, start, n, text, copies): of equal chunks the first, with their number. Equal chunks meet before the shuffle."""
-    by = cut.groupBy("key").agg(F.min(F.struct("id", "start")).alias("head"), F.first("n").alias("n"), F.first("text").alias("text"), F.count("*").alias("copies"))
-    return by.select("key", "head.id", "head.start", "n", "text", "copies")
-
-
-def first_places(cut: DataFrame) -> DataFrame:
-    """(id, at): by text, the places where windows of the first chunks that occur more than once occur first."""
+def dealt_snippets(texts: DataFrame, marked: Filter, hot: Filter, shards: int) -> DataFrame:
+    """(shard, first, hash, at, text): the snippets whose anchors may occur again, but for the hot ones."""
+    shared = texts.sparkSession.sparkContext.broadcast(((marked.blocks, marked.bits), (hot.blocks, hot.bits)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in slices(batches, "text", 2_000_000):
-            keys = [rolled(hashed(t.split()), WINDOW, 2).view(np.int64) for t in part["text"]]
-            n = np.array([len(k) for k in keys])
-            starts = np.repeat(part["start"].to_numpy(), n) + np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0)
-            yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "id": np.repeat(part["id"].to_numpy(), n), "at": starts.astype(np.int32), "copies": np.repeat(part["copies"].to_numpy(), n)})
+        again, often = (Filter(*f) for f in shared.value)
+        for part, words, _, bounds, (keys, a, b) in _scanned(batches):
+            some = again.has(keys) & ~often.has(keys)
+            keys, a, b = keys[some], a[some], b[some]
+            row = np.searchsorted(bounds, a, "right") - 1
+            cut = [b" ".join(words[i : j + WINDOW - 1]) for i, j in zip(a.tolist(), b.tolist())]
+            yield pd.DataFrame({"shard": (keys % np.uint64(shards)).astype(np.int64), "first": part["first"].to_numpy()[row], "hash": part["hash"].to_numpy()[row], "at": (a - bounds[row]).astype(np.int32), "text": cut})
 
-    first = cut.select("id", "start", "text", "copies").mapInPandas(run, "key long, id binary, at int, copies long").groupBy("key").agg(F.sum("copies").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1")
-    return first.groupBy("first.id").agg(F.collect_list("first.at").alias("at"))
+    return texts.select("first", "hash", "text").mapInPandas(run, f"shard long, {KEYS}, at int, text binary")
 
 
-def passages(cut: DataFrame, first: DataFrame) -> DataFrame:
-    """(id, start, text, n): the reference, runs of first places."""
+def hot_windows(texts: DataFrame, hot: Filter) -> DataFrame:
+    """(w1, w2, first, hash, at): the windows of hot anchors, by two hashes of their words."""
+    shared = texts.sparkSession.sparkContext.broadcast((hot.blocks, hot.bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in slices(batches, "text", 2_000_000):
-            rows = []
-            for i, start, text, at in zip(part["id"], part["start"], part["text"], part["at"]):
-                words = text.split()
-                n = len(words) - WINDOW + 1
-                at = np.unique(np.asarray(at)) - start
-                inside = np.zeros(n, bool)
-                inside[at[(at >= 0) & (at < n)]] = True
-                turns = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-                rows += [(i, int(start + a), b" ".join(words[a : b + WINDOW - 1]), int(b - a) + WINDOW - 1) for a, b in turns.reshape(-1, 2)]
-            yield pd.DataFrame(rows, columns=["id", "start", "text", "n"])
+        often = Filter(*shared.value)
+        for part, _, h, bounds, (keys, a, b) in _scanned(batches):
+            some = often.has(keys)
+            a, n = a[some], (b - a)[some]
+            at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row = np.searchsorted(bounds, at, "right") - 1
+            marks = {f"w{k}": rolled(h, WINDOW, k + 1)[at].view(np.int64) if len(at) else np.zeros(0, np.int64) for k in (1, 2)}
+            yield pd.DataFrame(marks | {"first": part["first"].to_numpy()[row], "hash": part["hash"].to_numpy()[row], "at": (at - bounds[row]).astype(np.int32)})
 
-    return cut.select("id", "start", "text").join(first, "id").mapInPandas(run, "id binary, start int, text binary, n int")
-
-
-def _with_anchors(df: DataFrame, names: list[str]) -> DataFrame:
-    """The columns ``names`` of df, a row for each anchor (key) of its text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in slices(batches, "text", 2_000_000):
-            keys = [np.unique(anchors(hashed(t.split()))[1]).view(np.int64) for t in part["text"]]
-            rows = part[names].loc[np.repeat(np.arange(len(part)), [len(k) for k in keys])].reset_index(drop=True)
-            yield rows.assign(key=np.concatenate(keys) if keys else np.zeros(0, np.int64))
-
-    kinds = dict(df.dtypes)
-    return df.select(*names, "text").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", key long")
+    return texts.select("first", "hash", "text").mapInPandas(run, f"w1 long, w2 long, {KEYS}, at int")
 
 
 class Automaton:
-    """The suffix automaton of several word sequences; each state knows where it first ended."""
+    """The suffix automaton of several word sequences."""
 
     def __init__(self):
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.end = [-1], [0], [-1]
+        self.next: list[dict[bytes, int]] = [{}]
+        self.link, self.length = [-1], [0]
 
-    def add(self, symbols: list[int], end: int) -> None:
-        """Adds a sequence whose first symbol stands at ``end`` of the places counted on."""
-        nexts, link, length, ends = self.next, self.link, self.length, self.end
+    def add(self, symbols: list[bytes]) -> None:
+        nexts, link, length = self.next, self.link, self.length
         last = 0
         for c in symbols:
             if (q := nexts[last].get(c)) is not None:  # known from another sequence
@@ -253,7 +220,6 @@ class Automaton:
                 new = len(nexts)
                 nexts.append({})
                 length.append(length[last] + 1)
-                ends.append(end)
                 link.append(0)
                 p = last
                 while p != -1 and c not in nexts[p]:
@@ -263,15 +229,13 @@ class Automaton:
                     q = nexts[p][c]
                     link[new] = q if length[q] == length[p] + 1 else self._split(p, c, q)
                 last = new
-            end += 1
 
-    def _split(self, p: int, c: int, q: int) -> int:
+    def _split(self, p: int, c: bytes, q: int) -> int:
         """A copy of q for the strings that p and c make, which have more ends than q's longest."""
         nexts, link, length = self.next, self.link, self.length
         clone = len(nexts)
         nexts.append(nexts[q].copy())
         length.append(length[p] + 1)
-        self.end.append(self.end[q])
         link.append(link[q])
         link[q] = clone
         while p != -1 and nexts[p].get(c) == q:
@@ -279,67 +243,58 @@ class Automaton:
             p = link[p]
         return clone
 
-    def statistics(self, symbols: list[int], least: int) -> Iterator[tuple[int, int]]:
-        """(place, end) for each place at which the longest match that ends there has ``least`` symbols or more; end: where the match first ended."""
-        nexts, link, length, ends = self.next, self.link, self.length, self.end
+    def statistics(self, symbols: list[bytes]) -> Iterator[int]:
+        """For each place the length of the longest match that ends there."""
+        nexts, link, length = self.next, self.link, self.length
         state = matched = 0
-        for at, c in enumerate(symbols):
+        for c in symbols:
             while state and c not in nexts[state]:
                 state = link[state]
                 matched = length[state]
             state = nexts[state].get(c, 0)
             matched = matched + 1 if state else 0
-            if matched >= least:
-                yield at, ends[state]
-
-
-def _streamed(reference: pd.DataFrame, stream: pd.DataFrame) -> pd.DataFrame:
-    """(id, a, b): the words of the streamed chunks that are to go, as spans of their texts."""
-    automaton, starts, total = Automaton(), [], 0
-    for i, start, text in sorted(zip(reference["id"], reference["start"], reference["text"])):
-        symbols = hashed(text.split()).tolist()
-        automaton.add(symbols, total)
-        starts.append((total, i, start))
-        total += len(symbols)
-    firsts = np.array([s[0] for s in starts])
-    rows = []
-    for i, start, text in zip(stream["id"], stream["start"], stream["text"]):
-        begin = end = -1
-        for at, where in automaton.statistics(hashed(text.split()).tolist(), WINDOW):
-            base, first_id, first_start = starts[int(np.searchsorted(firsts, where, "right")) - 1]
-            if (first_id, first_start + where - base) == (i, start + at):
-                continue  # the first occurrence itself
-            if at - WINDOW + 1 > end:
-                if end >= 0:
-                    rows.append((i, start + begin, start + end))
-                begin = at - WINDOW + 1
-            end = at + 1
-        if end >= 0:
-            rows.append((i, start + begin, start + end))
-    return pd.DataFrame(rows, columns=["id", "a", "b"])
+            yield matched
+
+
+def _streamed(shard: pd.DataFrame) -> pd.DataFrame:
+    """(first, hash, a, b): the words of a shard's snippets that are to go, as spans of their texts."""
+    automaton, rows, seen = Automaton(), [], set()
+    before = None
+    for first, mark, at, text in sorted(zip(shard["first"].tolist(), shard["hash"].tolist(), shard["at"].tolist(), shard["text"])):
+        if before == (first, mark, at):  # an equal row
+            continue
+        before = (first, mark, at)
+        words = text.split(b" ")
+        if text in seen:  # its statistics are full by now
+            rows.append((first, mark, at, at + len(words)))
+            continue
+        seen.add(text)
+        old = [n >= WINDOW for n in automaton.statistics(words)][WINDOW - 1 :]
+        i, n = 0, len(old)
+        while i < n:
+            j = i
+            while j < n and old[j] == old[i]:
+                j += 1
+            if old[i]:
+                rows.append((first, mark, at + i, at + j + WINDOW - 1))
+            else:
+                automaton.add(words[i : j + WINDOW - 1])
+            i = j
+    return pd.DataFrame(rows, columns=["first", "hash", "a", "b"])
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(id, spans): by text with words to remove, the spans of words, [a, b), of its windows that also start earlier."""
-    marked = filter_of(checkpointed(repeated_anchors(texts)))
-    cut = checkpointed(candidate_chunks(texts, marked))
-    heads = checkpointed(first_chunks(cut))
-    reference = passages(heads, first_places(heads))
-    words = heads.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, words // SHARD)
-    reference = checkpointed(reference.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))))
-    # chunks that are in the reference whole hold first places only
-    searched = checkpointed(heads.join(reference.select("id", "start", "n"), ["id", "start", "n"], "left_anti").select("id", "start", "text"))
-    where = checkpointed(_with_anchors(reference, ["shard"]).distinct())
-    routes = checkpointed(_with_anchors(searched, ["id", "start"]).join(where, "key").select("id", "start", "shard").distinct())
-    tasks = checkpointed(routes.groupBy("shard").agg(F.ceil(F.count("*") / STREAM).alias("tasks")))
-    stream = routes.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("id", "start"), "tasks")).drop("tasks").join(searched, ["id", "start"])
-    copies = reference.join(tasks, "shard").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1))).drop("tasks", "n")
-    spans = copies.groupBy("shard", "task").cogroup(stream.groupBy("shard", "task")).applyInPandas(_streamed, "id binary, a int, b int")
-    head = heads.where("copies > 1").select("key", F.col("id").alias("head_id"), F.col("start").alias("head_start"))
-    later = cut.select("key", "id", "start", "n").join(head, "key").where("id != head_id or start != head_start")
-    spans = spans.union(later.select("id", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")))
-    return spans.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    """(first, hash, spans): by text with words to remove, the spans of words, [a, b), of its windows that also start earlier."""
+    counts = written(anchor_counts(texts))
+    marked, hot = filter_of(counts.select("key")), filter_of(counts.where(F.col("n") > HOT).select("key"))
+    cold = counts.where(F.col("n") <= HOT).agg(F.sum("n")).first()[0] or 0
+    spans = dealt_snippets(texts, marked, hot, max(1, cold // SHARD)).groupBy("shard").applyInPandas(_streamed, f"{KEYS}, a int, b int")
+    if hot.bits.any():
+        windows = written(hot_windows(texts, hot))
+        place = F.struct("first", "hash", "at")
+        head = windows.groupBy("w1", "w2").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head != tail").drop("tail")
+        spans = spans.unionByName(windows.join(head, ["w1", "w2"]).where(place != F.col("head")).select("first", "hash", F.col("at").alias("a"), (F.col("at") + WINDOW).alias("b")))
+    return spans.groupBy("first", "hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -348,14 +303,14 @@ def removed(docs: DataFrame) -> DataFrame:
     A word goes if a window of WINDOW words covers it whose words also start earlier: in a
     document of smaller doc_id, or earlier in the same one. Windows are judged on the input.
     Null and empty texts have no words; a null doc_id is smaller than all others; each row is a document of its own, and
-    rows that share a doc_id, or have none, stand in the order of a hash of their texts. An
-    empty table gives no rows, other columns are ignored.
+    rows that share a doc_id, or have none, stand in the order of a hash of their texts. Of equal rows the first is judged like
+    any other, the others lose all words that a window covers. An empty table gives no rows, other columns are ignored.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(batches, "text"):
             rows = []
-            for text, spans in zip(part["text"], part["spans"]):
+            for text, spans, copies in zip(part["text"], part["spans"], part["copies"]):
                 words = text.split()
                 kept, gone = words, 0
                 if spans is not None:
@@ -364,11 +319,17 @@ def removed(docs: DataFrame) -> DataFrame:
                         keep[s["a"] : s["b"]] = False
                     kept = [words[k] for k in np.flatnonzero(keep)]
                     gone = len(words) - len(kept)
-                rows.append((len(words), gone, hashlib.sha256(b" ".join(kept)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
-            out.insert(0, "doc_id", part["doc_id"])
-            yield out
-
-    texts = checkpointed(_texts(docs))
-    joined = texts.join(repeated_spans(texts), "id", "left")
-    return joined.select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+                whole = hashlib.sha256(b" ".join(words) if len(words) < WINDOW else b"").hexdigest() if copies > 1 else ""
+                rows.append((len(words), gone, hashlib.sha256(b" ".join(kept)).hexdigest(), whole))
+            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "copy_sha256"])
+            yield pd.concat([part[["first", "nil", "copies"]].reset_index(drop=True), out], axis=1)
+
+    texts = _texts(docs)
+    # equal rows meet before the shuffle, and are dealt out again in the end
+    unique = texts.groupBy("first", "hash").agg(F.first("nil").alias("nil"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    joined = unique.join(repeated_spans(texts), ["first", "hash"], "left").select("first", "nil", "copies", "text", "spans")
+    told = joined.mapInPandas(run, "first long, nil boolean, copies long, n_words long, n_removed long, kept_sha256 string, copy_sha256 string")
+    dealt = told.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    later = F.col("i") > 1
+    gone = F.when(later, F.when(F.col("n_words") >= WINDOW, F.col("n_words")).otherwise(0)).otherwise(F.col("n_removed"))
+    return dealt.select(F.when(~F.col("nil"), F.col("first")).alias("doc_id"), "n_words", gone.cast("long").alias("n_removed"), F.when(later, F.col("copy_sha256")).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
