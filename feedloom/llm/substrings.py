@@ -10,9 +10,10 @@
    automaton of the windows that stood first so far; where the matching statistic reaches the
    window's length, the window has stood before. What is new joins the automaton. So the
    reference holds each window once, at its first place, and words are compared, not hashes.
-4. Windows of anchors with more than HOT places would make a shard too large. They are
-   aggregated by two hashes to their first place, which combines before the shuffle, and joined with it; adaptive execution
-   can split the join where a window stands in very many documents.
+4. The snippets of anchors with more than HOT places are first aggregated to the different ones, which combines
+   before the shuffle; a later copy goes whole, since the first has been before it. The different ones go to the
+   shards like any other. Anchors that even have more than HOT different snippets (where a passage that many texts share
+   begins or ends) would make a shard too large: their windows are aggregated by two hashes to their first places.
 
 Only snippets, places and counts are shuffled, and each text once, in the end, to meet its spans.
 """
@@ -184,21 +185,52 @@ def dealt_snippets(texts: DataFrame, marked: Filter, hot: Filter, shards: int) -
     return texts.select("first", "hash", "text").mapInPandas(run, f"shard long, {KEYS}, at int, text binary")
 
 
-def hot_windows(texts: DataFrame, hot: Filter) -> DataFrame:
-    """(w1, w2, first, hash, at): the windows of hot anchors, by two hashes of their words."""
+def hot_snippets(texts: DataFrame, hot: Filter) -> DataFrame:
+    """(key, sign, first, hash, at, n, text): the snippets of hot anchors (key), of n words; sign: a hash of the text."""
     shared = texts.sparkSession.sparkContext.broadcast((hot.blocks, hot.bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = Filter(*shared.value)
-        for part, _, h, bounds, (keys, a, b) in _scanned(batches):
+        for part, words, _, bounds, (keys, a, b) in _scanned(batches):
             some = often.has(keys)
-            a, n = a[some], (b - a)[some]
-            at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            row = np.searchsorted(bounds, at, "right") - 1
-            marks = {f"w{k}": rolled(h, WINDOW, k + 1)[at].view(np.int64) if len(at) else np.zeros(0, np.int64) for k in (1, 2)}
-            yield pd.DataFrame(marks | {"first": part["first"].to_numpy()[row], "hash": part["hash"].to_numpy()[row], "at": (at - bounds[row]).astype(np.int32)})
+            keys, a, b = keys[some], a[some], b[some]
+            row = np.searchsorted(bounds, a, "right") - 1
+            cut = [b" ".join(words[i : j + WINDOW - 1]) for i, j in zip(a.tolist(), b.tolist())]
+            yield pd.DataFrame({"key": keys.view(np.int64), "sign": list(map(xxhash.xxh3_128_digest, cut)), "first": part["first"].to_numpy()[row], "hash": part["hash"].to_numpy()[row], "at": (a - bounds[row]).astype(np.int32), "n": (b - a + WINDOW - 1).astype(np.int32), "text": cut})
+
+    return texts.select("first", "hash", "text").mapInPandas(run, f"key long, sign binary, {KEYS}, at int, n int, text binary")
+
+
+def _windows(heads: DataFrame) -> DataFrame:
+    """(w1, w2, first, hash, at): the windows of ``heads`` (first, hash, at, text), by two hashes of their words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in slices(batches, "text", 4_000_000):
+            hashes = [hashed(t.split(b" ")) for t in part["text"]]
+            n = np.array([len(h) - WINDOW + 1 for h in hashes])
+            marks = {f"w{k}": np.concatenate([rolled(h, WINDOW, k + 1) for h in hashes]).view(np.int64) for k in (1, 2)}
+            at = np.repeat(part["at"].to_numpy(), n) + np.concatenate([np.arange(k) for k in n])
+            yield pd.DataFrame(marks | {"first": np.repeat(part["first"].to_numpy(), n), "hash": np.repeat(part["hash"].to_numpy(), n), "at": at.astype(np.int32)})
+
+    return heads.select("first", "hash", "at", "text").mapInPandas(run, f"w1 long, w2 long, {KEYS}, at int")
+
+
+def _not_first(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Those of ``rows`` (first, hash, at, ...) that aren't the first place of what they have in common; equal rows stand at one place."""
+    place = F.struct("first", "hash", "at")
+    head = rows.groupBy(*by).agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head != tail").drop("tail")
+    return rows.join(head, by).where(place != F.col("head"))
+
 
-    return texts.select("first", "hash", "text").mapInPandas(run, f"w1 long, w2 long, {KEYS}, at int")
+def hot_parts(texts: DataFrame, hot: Filter, shards: int) -> tuple[DataFrame, DataFrame]:
+    """(shard, first, hash, at, text) of the different snippets of hot anchors, and (first, hash, a, b) of what goes without an automaton."""
+    rows = written(hot_snippets(texts, hot))
+    copies = _not_first(rows.drop("text"), ["key", "sign"]).select("first", "hash", F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b"))
+    heads = written(rows.groupBy("key", "sign").agg(F.min(F.struct("first", "hash", "at")).alias("head"), F.first("text").alias("text")).select("key", "head.*", "text"))
+    wide = written(heads.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
+    dealt = heads.join(wide, "key", "left_anti").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "first", "hash", "at", "text")
+    late = _not_first(_windows(heads.join(wide, "key", "left_semi")), ["w1", "w2"]).select("first", "hash", F.col("at").alias("a"), (F.col("at") + WINDOW).alias("b"))
+    return dealt, copies.unionByName(late)
 
 
 class Automaton:
@@ -288,12 +320,13 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     counts = written(anchor_counts(texts))
     marked, hot = filter_of(counts.select("key")), filter_of(counts.where(F.col("n") > HOT).select("key"))
     cold = counts.where(F.col("n") <= HOT).agg(F.sum("n")).first()[0] or 0
-    spans = dealt_snippets(texts, marked, hot, max(1, cold // SHARD)).groupBy("shard").applyInPandas(_streamed, f"{KEYS}, a int, b int")
+    shards = max(1, cold // SHARD)
+    dealt, more = dealt_snippets(texts, marked, hot, shards), None
     if hot.bits.any():
-        windows = written(hot_windows(texts, hot))
-        place = F.struct("first", "hash", "at")
-        head = windows.groupBy("w1", "w2").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head != tail").drop("tail")
-        spans = spans.unionByName(windows.join(head, ["w1", "w2"]).where(place != F.col("head")).select("first", "hash", F.col("at").alias("a"), (F.col("at") + WINDOW).alias("b")))
+        some, more = hot_parts(texts, hot, shards)
+        dealt = dealt.unionByName(some)
+    spans = dealt.groupBy("shard").applyInPandas(_streamed, f"{KEYS}, a int, b int")
+    spans = spans if more is None else spans.unionByName(more)
     return spans.groupBy("first", "hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
