@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator, Mapping
 from heapq import heapify, heappop, heappush
 from itertools import islice
-from math import lcm
+from math import gcd, lcm
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +15,11 @@ from pyspark.sql.window import Window
 
 from feedloom.llm.shared import checkpointed, shared_folder
 
-#: Slots of a round, where a schedule is asked for by rounds.
-ROUND = 1_000
+#: Slots of a round for the default weights, or so many for each source, whichever is more; and for given weights, which count to so many parts of their sum.
+ROUND, ROUND_EACH, PARTS = 1_000, 16, 1_000_000
 #: Ended sources keep their slots until these are so many times the blocks.
 EMPTY = 4
-#: Blocks that the schedule hands over at a time.
+#: Slots of the round that are stored at a time.
 PLACES = 50_000
 #: Documents of a block.
 BLOCK = 16
@@ -36,9 +36,16 @@ def quotas(weights: Mapping[str, float], slots: int = ROUND) -> dict[str, int]:
     total = sum(weights.values())
     exact = {s: slots * w / total for s, w in weights.items()}
     given = {s: max(1, int(x)) for s, x in exact.items()}
-    while (off := slots - sum(given.values())) != 0:
-        able = [s for s in given if off > 0 or given[s] > 1]
-        given[max(able, key=lambda s: ((exact[s] - given[s]) * off, s))] += 1 if off > 0 else -1
+    off = slots - sum(given.values()) if given else 0
+    step = 1 if off > 0 else -1
+    # those furthest from their exact share give or take a slot first
+    able = [((given[s] - exact[s]) * step, s) for s in given if step > 0 or given[s] > 1]
+    heapify(able)
+    for _ in range(abs(off)):
+        _, s = heappop(able)
+        given[s] += step
+        if step > 0 or given[s] > 1:
+            heappush(able, ((given[s] - exact[s]) * step, s))
     return given
 
 
@@ -82,21 +89,30 @@ def schedule(quota: Mapping[str, int]) -> list[str]:
     return [s for s, _, _ in timed(quota, quota)]
 
 
-def slots_of(sizes: DataFrame, weights: Mapping[str, float] | None, block: int) -> DataFrame:
-    """(_key, _block, _slot) of every block of the sources in ``sizes`` (_key, n).
+def whole_weights(weights: Mapping[str, float], slots: int) -> dict[str, int]:
+    """The weights as whole numbers of slots of a round, in lowest terms: in proportion to ``slots`` parts of their sum, one at least."""
+    quota = quotas(weights, max(slots, len(weights)))
+    common = gcd(*quota.values()) if quota else 1
+    return {s: n // common for s, n in quota.items()}
 
-    Each slot follows from those before it, so the driver makes the schedule, with a row for each source in its memory and a few
-    steps for each block, and stores it in the shared folder by PLACES blocks.
+
+def round_of(sizes: DataFrame, weights: Mapping[str, float] | None) -> tuple[int, DataFrame]:
+    """(slots of a round, (_key, _quota, _turn, _slot)): the schedule of a round for the sources in ``sizes`` (_key, n), in which source _key takes its turn _turn at _slot.
+
+    Weights are whole numbers of slots, so after a round every source has had exactly its share, and the schedule
+    starts again: one round is all that is worked out, however many blocks there are. The driver makes it, with a row for each
+    source and a step for each slot of the round, and stores it in the shared folder.
     """
     spark = sizes.sparkSession
     n = {r["_key"]: r["n"] for r in sizes.collect()}
-    places = timed({s: x**TEMPER if weights is None else weights[s] for s, x in n.items()}, {s: -(-x // block) for s, x in n.items()})
-    folder = f"{shared_folder(spark)}/slots-{uuid.uuid4().hex}"
-    some = list(islice(places, PLACES))
+    quota = whole_weights({s: x**TEMPER for s, x in n.items()}, max(ROUND, ROUND_EACH * len(n))) if weights is None else whole_weights({s: weights[s] for s in n}, PARTS)
+    turns = timed(quota, quota)
+    folder = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
+    some = list(islice(turns, PLACES))
     while True:
-        _table(sizes, [{"_key": s, "_block": k, "_slot": slot} for s, k, slot in some], "_key string, _block long, _slot long").write.mode("append").parquet(folder)
-        if not (some := list(islice(places, PLACES))):
-            return spark.read.parquet(folder)
+        _table(sizes, [{"_key": s, "_quota": quota[s], "_turn": k, "_slot": slot} for s, k, slot in some], "_key string, _quota long, _turn long, _slot long").write.mode("append").parquet(folder)
+        if not (some := list(islice(turns, PLACES))):
+            return sum(quota.values()), spark.read.parquet(folder)
 
 
 def _table(docs: DataFrame, rows: list[dict], schema: str) -> DataFrame:
@@ -109,11 +125,11 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: in
 
     Each source's documents, shuffled by a hash of doc_id, make blocks; the blocks take their
     source's slots in turn. Every prefix of whole slots holds, of each source that has not ended in it,
-    its exact weight's share within less than a block, however long the table is; the slots of sources that have
+    its weight's share within less than a block, however long the table is; the slots of sources that have
     ended stay empty, so positions have gaps but no row is left out. ``weights``: by source,
-    all sources that are in ``docs``; by default the square root of each source's size. A null
-    source counts as "", repeated rows take a place each, an empty table gives no rows. Columns
-    of ``docs`` that are called slot or position give way to the new ones.
+    all sources that are in ``docs``, counted to a millionth of their sum; by default the square root of each source's size, as whole
+    numbers of the slots of a round (``whole_weights``). A null source counts as "", repeated rows take a place each, an empty table
+    gives no rows. Columns of ``docs`` that are called slot or position give way to the new ones.
     """
     docs = docs.drop("slot", "position")
     keyed = docs.withColumn("_key", F.coalesce("source", F.lit("")))
@@ -122,12 +138,13 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: in
         able = _table(docs, [{"_key": s} for s, w in weights.items() if w > 0], "_key string")
         if missing := [r["_key"] for r in sizes.join(able, "_key", "left_anti").limit(5).collect()]:
             raise ValueError(f"no weight for {missing}")
-    places = slots_of(sizes, weights, block)
-    buckets = sizes.select("_key", F.ceil(F.col("n") / F.greatest(F.lit(BUCKET), F.floor(F.col("n") / MOST_BUCKETS))).alias("_buckets"))
+    slots, turns = round_of(sizes, weights)
+    shares = turns.where("_turn = 0").select("_key", "_quota")
+    buckets = sizes.join(shares, "_key").select("_quota", "_key", F.ceil(F.col("n") / F.greatest(F.lit(BUCKET), F.floor(F.col("n") / MOST_BUCKETS))).alias("_buckets"))
 
     # numbering: each bucket counts by itself, and the buckets before it are summed, so that no task has a whole source
     mark = F.xxhash64("doc_id", F.lit(77))
-    dealt = keyed.join(F.broadcast(buckets), "_key")
+    dealt = keyed.join(buckets, "_key")
     dealt = dealt.withColumn("_bucket", F.pmod(mark, "_buckets"))
     counts = checkpointed(dealt.groupBy("_key", "_bucket").agg(F.count("*").alias("_rows")))
     whole = Window.partitionBy("_key").orderBy("_bucket")
@@ -137,4 +154,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: in
     placed = dealt.withColumn("_place", F.row_number().over(own)).join(before, ["_key", "_bucket"])
     number = F.col("_before") + F.col("_place") - 1
     blocked = placed.withColumn("_block", F.floor(number / block)).withColumn("_in", number % block)
-    return blocked.join(places, ["_key", "_block"]).select(*(docs[c] for c in docs.columns), F.col("_slot").alias("slot"), (F.col("_slot") * block + F.col("_in")).alias("position"))
+    blocked = blocked.withColumn("_turn", F.col("_block") % F.col("_quota")).withColumn("_round", F.floor(F.col("_block") / F.col("_quota")))
+    slot = F.col("_round") * slots + F.col("_slot")
+    placed = blocked.join(turns.drop("_quota"), ["_key", "_turn"]).withColumn("_slot", slot)
+    return placed.select(*(docs[c] for c in docs.columns), F.col("_slot").alias("slot"), (F.col("_slot") * block + F.col("_in")).alias("position"))
