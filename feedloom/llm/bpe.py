@@ -22,8 +22,8 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 SPACE, LETTER, NUMBER = r"\t-\r \x85\xa0", r"A-Za-zªµºÀ-ÖØ-öø-ɏ", r"0-9²³¹¼½¾"
 LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 _PRETOKENS, _LATIN_PRETOKENS, _BEYOND_LATIN = regex.compile(PRETOKEN).findall, re.compile(LATIN).findall, re.compile("[^\x00-\u024f]").search
-#: Most distinct pre-tokens that a Python worker remembers; the memory starts afresh beyond it.
-REMEMBERED = 1_000_000
+#: Most distinct pre-tokens that a Python worker remembers, of so many characters at most; the memory starts afresh beyond it.
+REMEMBERED, SHORT_WORD = 500_000, 64
 #: Bytes up to which a piece is merged by plain scans.
 SHORT = 100
 NEVER = 1 << 60
@@ -127,7 +127,9 @@ class Codec:
                 if found is None:
                     if len(self.known) >= REMEMBERED:
                         self.known.clear()
-                    found = self.known[word] = self.word_ids(word)
+                    found = self.word_ids(word)
+                    if len(word) <= SHORT_WORD:
+                        self.known[word] = found
                 ids += found
         return ids
 
@@ -174,14 +176,14 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) of ``tokens`` (doc_id, ids)."""
+    """(doc_id, text) of ``tokens`` (doc_id, ids). Null ids count as none, repeated rows stay, an empty table gives no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decode = codec(path).decode
         for part in batches:
             yield pd.DataFrame({"doc_id": part["doc_id"], "text": [decode(i) for i in part["ids"]]})
 
-    return tokens.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return tokens.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInPandas(run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -13,6 +13,8 @@ similarity; bins that are empty in both tell nothing and are left out.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,7 +23,8 @@ SHINGLE = 5
 BINS = 64
 #: Documents of a block of neighbours, at least, and most blocks.
 BLOCK, MOST_BLOCKS = 256, 1_000_000
-SEGMENTS = 64
+#: Quantiles of the ids in between which blocks are of even width, at most; they are looked up in two steps of FAN.
+SEGMENTS, FAN = 4_096, 64
 
 
 def _uniform(bits: Column) -> Column:
@@ -100,30 +103,41 @@ def with_next(docs: DataFrame, prepare=lambda df: df) -> DataFrame:
     """``docs`` (doc_id, text), prepared, with next: a struct of the columns of the document that follows by
     descending doc_id; after the last comes the first.
 
-    Ids are cut into blocks of neighbouring ids, which a table of quantiles keeps even whatever
-    the gaps; texts are shuffled once, by block. A block's highest document is also sent, as a
-    ghost, to the block above, whose lowest it follows. Rows of equal id follow by a hash of
-    their text; a null id is the lowest.
+    Ids are cut into blocks of neighbouring ids: at quantiles, which even out the gaps, and evenly in between. An id that fills
+    several quantiles, such as a repeated one or none, is split by the hash of the text. Texts are shuffled once, by block. A
+    block's highest document is also sent, as a ghost, to the block above, whose lowest it follows. Rows of equal id follow by
+    a hash of their text; a null id is the lowest.
     """
     lowest = -(1 << 63)
-    docs = docs.withColumn("_at", F.coalesce("doc_id", F.lit(lowest)))
-    stats = docs.agg(F.count("*").alias("n"), F.percentile_approx("_at", [i / SEGMENTS for i in range(SEGMENTS + 1)], 10_000).alias("q")).first()
-    bounds = sorted(set(stats["q"] or [0]))
-    per = -(-stats["n"] // (SEGMENTS * max(BLOCK, -(-stats["n"] // MOST_BLOCKS)))) or 1
-    edges = F.array(*(F.lit(b).cast("long") for b in bounds))
-    place = F.greatest(F.size(F.filter(edges, lambda b: b <= F.col("_at"))), F.lit(1))
-    low, high = F.element_at(edges, place).cast("double"), F.coalesce(F.get(edges, place).cast("double"), F.element_at(edges, -1).cast("double"))
-    within = F.floor((F.col("_at").cast("double") - low) / (high - low + 1) * per)
-    block = place * per + F.greatest(F.least(within, F.lit(per - 1)), F.lit(0))
-    blocked = docs.withColumn("_block", block)
-
-    ends = blocked.groupBy("_block").agg(F.max("_at").alias("_end"))
-    along = Window.orderBy("_block")  # one row for each block, MOST_BLOCKS at most
-    above = ends.select("_end", F.coalesce(F.lead("_block").over(along), F.min("_block").over(Window.partitionBy(F.lit(0)))).alias("_above"))
-    sent = blocked.join(F.broadcast(above), blocked["_at"] == above["_end"], "left")
+    docs = docs.withColumns({"_at": F.coalesce("doc_id", F.lit(lowest)), "_h": F.xxhash64("text")})
+    n = docs.count()
+    segments = max(1, min(SEGMENTS, n // BLOCK))
+    marks = docs.agg(F.percentile_approx("_at", [i / segments for i in range(segments + 1)], 20_000)).first()[0] or [0]
+    times = Counter(marks)
+    cuts = sorted(times)
+    per = max(1, -(-n // (segments * max(BLOCK, -(-n // MOST_BLOCKS)))))
+    longs = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
+    rows = [cuts[i : i + FAN] for i in range(0, len(cuts), FAN)]
+    upto = lambda edges: F.size(F.filter(edges, lambda c: c <= F.col("_at")))
+    # each step's outcome comes out of a one-element generator, so that it is worked out once
+    docs = docs.withColumn("_row", F.greatest(upto(longs([r[0] for r in rows])) - 1, F.lit(0)))
+    docs = docs.withColumn("_place", F.col("_row") * FAN + F.greatest(upto(F.get(F.array(*map(longs, rows)), "_row")) - 1, F.lit(0)))
+    docs = docs.select("*", F.inline(F.array(F.struct(F.get(longs(cuts), "_place").alias("_low"), F.get(longs(cuts), F.col("_place") + 1).alias("_high"), F.get(longs([times[c] for c in cuts]), "_place").alias("_times")))))
+    width = F.coalesce(F.col("_high"), F.col("_low")).cast("double") - F.col("_low").cast("double")
+    within = F.floor((F.col("_at").cast("double") - F.col("_low").cast("double")) / (width + 1) * per)
+    most = max(times.values())
+    split = (F.col("_at") == F.col("_low")) & (F.col("_times") > 1)
+    block = F.col("_place") * (most + per) + F.when(split, F.pmod("_h", "_times")).otherwise(most + F.greatest(F.least(within, F.lit(per - 1)), F.lit(0)))
+    blocked = docs.withColumn("_block", block.cast("long")).drop("_row", "_place", "_low", "_high", "_times")
+
+    ends = blocked.groupBy("_block").agg(F.max(F.struct("_at", "_h")).alias("_end"))
+    along = Window.orderBy("_block")  # one row for each block, about MOST_BLOCKS at most
+    above = ends.select("_block", "_end._at", "_end._h", F.coalesce(F.lead("_block").over(along), F.min("_block").over(Window.partitionBy(F.lit(0)))).alias("_above"))
+    sent = blocked.join(above, ["_block", "_at", "_h"], "left")
     targets = F.array_compact(F.array(F.struct(F.col("_block").alias("b"), F.lit(0).alias("g")), F.when(F.col("_above").isNotNull(), F.struct(F.col("_above").alias("b"), F.lit(1).alias("g")))))
-    dealt = sent.withColumn("_to", F.explode(targets)).select(*docs.columns, F.col("_to.b").alias("_block"), F.col("_to.g").alias("_ghost"))
+    kept = [c for c in docs.columns if c in ("doc_id", "text", "_at", "_h") or not c.startswith("_")]
+    dealt = sent.withColumn("_to", F.explode(targets)).select(*kept, F.col("_to.b").alias("_block"), F.col("_to.g").alias("_ghost"))
     ready = prepare(dealt.repartition("_block"))
-    own = [c for c in ready.columns if c not in ("_at", "_block", "_ghost")]
-    order = Window.partitionBy("_block").orderBy(F.desc("_ghost"), "_at", F.xxhash64("text"))
+    own = [c for c in ready.columns if c not in ("_at", "_h", "_block", "_ghost")]
+    order = Window.partitionBy("_block").orderBy(F.desc("_ghost"), "_at", "_h")
     return ready.withColumn("next", F.lag(F.struct(*own)).over(order)).where("_ghost = 0").select(*own, "next")

@@ -53,11 +53,9 @@ LONG_WORD = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.I)
 #: name (at) host (dot) tld, with any brackets, or with bare words where both are words.
 BRACKETED = re.compile(r" ?(?:[(\[{<] ?(?:at|@|arroba|chez) ?[)\]}>]) ?", re.I)
 BRACKETED_DOT = re.compile(r" ?(?:[(\[{<] ?(?:dot|\.|punto|punkt|point) ?[)\]}>]) ?", re.I)
-BARE = re.compile(
-    r"(?<![A-Za-z0-9._%+-])((?:[A-Za-z0-9_%+-]{1,64} (?:dot|DOT) ){0,3}[A-Za-z0-9._%+-]{1,64})( at | AT )"
-    r"((?!(?:the|a|an|this|that|our|my|your) )[A-Za-z0-9-]{1,63}(?:(?: dot | DOT |\.)[A-Za-z0-9-]{1,63}){0,4}(?: dot | DOT )[A-Za-z]{2,24})(?![A-Za-z0-9])"
-)
-BARE_DOT = re.compile(r" dot | DOT ")
+BARE_AT = re.compile(r" at ", re.I)
+BARE_HOST = re.compile(r"(?!(?:the|a|an|this|that|our|my|your) )[A-Za-z0-9-]+(?:(?: [Dd][Oo][Tt] |\.)[A-Za-z0-9-]+)*(?: [Dd][Oo][Tt] )[A-Za-z]{2,24}(?![A-Za-z0-9])")
+BARE_DOT = re.compile(r" dot ", re.I)
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9]) @ ?(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@ (?=[A-Za-z0-9-]+\.[A-Za-z])")
 
 
@@ -159,14 +157,30 @@ def _digits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _bare_name(text: str, end: int, free: int) -> int:
+    """Where the name that ends at ``end`` begins, not before ``free``; names may be joined by the word dot."""
+    start = end
+    while start > free and text[start - 1] in LOCAL:
+        start -= 1
+    while start - 5 > free and text[start - 5 : start].lower() == " dot " and text[start - 6] in LOCAL:
+        start -= 5
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+    return start
+
+
 def _addresses(text: str) -> list[tuple[int, int, str]]:
     """Disguised @ and dots to the signs."""
     edits = [(*m.span(), "@") for m in SPACED_AT.finditer(text)] if "@" in text else []
     if any(b in text for b in "([{<"):
         edits += [(*m.span(), "@") for m in BRACKETED.finditer(text)] + [(*m.span(), ".") for m in BRACKETED_DOT.finditer(text)]
-    for m in BARE.finditer(text) if " dot " in text or " DOT " in text else ():
-        edits.append((*m.span(2), "@"))
-        edits += [(m.start(g) + d.start(), m.start(g) + d.end(), ".") for g in (1, 3) for d in BARE_DOT.finditer(m[g])]
+    free = 0
+    for at in BARE_AT.finditer(text) if BARE_DOT.search(text) else ():
+        start = _bare_name(text, at.start(), free)
+        if start < at.start() and (host := BARE_HOST.match(text, at.end())):
+            edits.append((*at.span(), "@"))
+            edits += [(*d.span(), ".") for a, b in ((start, at.start()), host.span()) for d in BARE_DOT.finditer(text, a, b)]
+            free = host.end()
     edits.sort()
     return [e for n, e in enumerate(edits) if n == 0 or e[0] >= edits[n - 1][1]]
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +13,12 @@ from feedloom.llm.shared import read
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document under the unigram model. Null texts have none; repeated rows stay; an empty table gives no rows."""
     return token_counts.counted(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, with their likeness and that of the next document. Null texts count as empty; a null id is the lowest; a table of one document is followed by itself."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     df = fingerprints.with_next(docs, lambda d: fingerprints.with_signature(d, "text", "signature"))
     n = F.length("text")
@@ -36,19 +38,23 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9. Unusable vectors link with nothing; a null id has a null component; repeated rows are copies."""
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document. Null texts count as empty; repeated rows stay."""
     return pii.scan(read(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document, by a model fitted on the labelled ones. Null texts are graded as texts without features; without labels of both kinds all is clean."""
     docs = read(spark, sf_dir, "documents")
     return toxicity.graded(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document. Null texts count as empty; repeated rows stay."""
     df = secrets.found(read(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     counts = [n(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
@@ -56,24 +62,29 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document at 2 bits. Texts without words have fingerprint zero; a null id has a null component."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, removed words and a hash of the kept ones of every document. Null texts have no words; each row is a document of its own."""
     return substrings.removed(read(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(read(spark, sf_dir, "documents").select("doc_id", "source"))
+    """Every document with its slot and position in the mix of sources, and the length and hash of its text, which is mixed with it. Null texts have neither."""
+    mixed = mixing.mixed(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "slot", "position", F.length("text").alias("n_chars"), F.xxhash64("text").alias("text_hash"))
 
 
 def tokenizer(name: str) -> str:
-    """Place of a public tokenizer's file; ``FEEDLOOM_TOKENIZERS`` names another folder."""
-    return os.path.join(os.environ.get("FEEDLOOM_TOKENIZERS", "/opt/tokenizers"), name)
+    """Place of a public tokenizer's file."""
+    return public_tokenizers.path(name)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and hash of every document's token ids, and a hash of the text that they decode to. Null texts count as empty."""
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
@@ -81,5 +92,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_token_counts": op1_token_counts, "op2_fingerprints": op2_fingerprints, "op3_embedding_dedup": op3_embedding_dedup, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op8_substrings": op8_substrings, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 
 
+#: All pairs of vectors, and the least id that links reach from each.
+EMBEDDING_SQL = """with recursive v as (select vec_id, embedding::double[] as x from embeddings),
+e as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.x, b.x) >= 0.9),
+reached(id, root) as (select vec_id, vec_id from v union select e.b, r.root from reached r join e on e.a = r.id)
+select vec_id, (select count(*) from e where e.a = v.vec_id) as n_links, c.root as component_id, c.root = vec_id as kept
+from v join (select id, min(root) as root from reached group by id) c on c.id = v.vec_id"""
+
+#: Every window of 20 words with its places; ids are unique in the tables that this runs on.
+SUBSTRING_SQL = r"""with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents),
+windows as (select doc_id, i, array_to_string(words[i:i + 19], ' ') as w from d, unnest(range(1, len(words) - 18)) as u(i)),
+late as (select doc_id, i from (select doc_id, i, row_number() over (partition by w order by doc_id, i) as place from windows) where place > 1),
+gone as (select doc_id, list(distinct i + k) as spots from late, range(0, 20) as r(k) group by doc_id)
+select doc_id, len(words) as n_words, coalesce(len(spots), 0) as n_removed, sha256(array_to_string(case when spots is null then words else list_filter(words, lambda w, n: not list_contains(spots, n)) end, ' ')) as kept_sha256 from d left join gone using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_embedding_dedup": EMBEDDING_SQL, "op8_substrings": SUBSTRING_SQL}

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from feedloom.llm.bpe import pretokens
 from feedloom.llm.shared import slices
 
-#: Most distinct pre-tokens whose counts a Python worker remembers; the memory starts afresh beyond it.
-REMEMBERED = 1_000_000
+#: Most distinct pre-tokens whose counts a Python worker remembers, of so many characters at most; the memory starts afresh beyond it.
+REMEMBERED, SHORT_WORD = 500_000, 64
 
 
 class Unigram:
@@ -28,6 +28,7 @@ class Unigram:
         self.score = {t: -math.log(r + 1) - norm for t, r in ranks.items()}
         self.longest = max(map(len, self.score))
         self.known: dict[str, int] = {}
+        self.long: list[str] = []
 
     def counts(self, words: Iterable[bytes]) -> Iterator[int]:
         """For each of the words, in their sorted order, the tokens of its most probable segmentation; of equally probable ones the fewest.
@@ -58,9 +59,12 @@ class Unigram:
             yield numbers[len(word)]
 
     def learn(self, words: set[str]) -> None:
-        """Stores the counts of those of the words that are not known yet."""
+        """Stores the counts of those of the words that are not known yet; long ones of earlier texts are forgotten."""
+        for word in self.long:
+            self.known.pop(word, None)
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
+        self.long = [w for w in words if len(w) > SHORT_WORD]
         fresh = sorted((w.encode(), w) for w in words if w not in self.known)
         for (_, word), n in zip(fresh, self.counts(b for b, _ in fresh)):
             self.known[word] = n

@@ -16,8 +16,8 @@ from feedloom.llm.shared import checkpointed, slices
 
 #: Bounds of the labelled sample that a model is fitted on, by label (documented parameters).
 MOST_TOXIC, MOST_CLEAN = 4_000, 8_000
-#: Most features of a model, and the least likelihood-ratio statistic of one.
-MOST_FEATURES, LEAST_EVIDENCE = 2_000, 24.0
+#: The least likelihood-ratio statistic of a feature of the model.
+LEAST_EVIDENCE = 24.0
 #: Lengths of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6)
 GRADES = 3
@@ -32,16 +32,16 @@ def features_of(word: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Model:
-    """P(grade > k) = sigmoid(weights . x - thresholds[k]), x being log(1 + count) of each feature."""
+    """P(grade > k) = sigmoid(weights . x - cuts[k]), x being log(1 + count) of each feature."""
 
     index: dict[str, int]
     weights: np.ndarray
-    thresholds: np.ndarray
+    cuts: np.ndarray
 
     def above(self, counts: Counter) -> np.ndarray:
-        """P(grade > k) for each threshold k."""
+        """P(grade > k) for each cut k."""
         score = sum(self.weights[i] * np.log1p(n) for i, n in counts.items())
-        return 1 / (1 + np.exp(self.thresholds - score))
+        return 1 / (1 + np.exp(self.cuts - score))
 
 
 class Hits(dict):
@@ -101,7 +101,7 @@ def telling(sample: DataFrame) -> list[str]:
     term = lambda seen, expected: F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
     evidence = 2 * (term(t, nt * share) + term(c, nc * share) + term(nt - t, nt * (1 - share)) + term(nc - c, nc * (1 - share)))
     found = counts.withColumn("evidence", evidence).where((t / nt > c / nc) & (F.col("evidence") >= LEAST_EVIDENCE))
-    return [r["feature"] for r in found.orderBy(F.desc("evidence"), "feature").limit(MOST_FEATURES).collect()]
+    return [r["feature"] for r in found.orderBy(F.desc("evidence"), "feature").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -134,9 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, weight: np.ndarray, ridge: float = 1e-5, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) of the proportional-odds model, by accelerated gradient steps on the ridge-penalised mean loss, each row counted by its weight.
+    """(weights, cuts) of the proportional-odds model, by accelerated gradient steps on the ridge-penalised mean loss, each row counted by its weight.
 
-    The thresholds are a first one and positive gaps, so they stay in order; the weights are shared by all.
+    The cuts are a first one and positive gaps, so they stay in order; the weights are shared by all.
     """
     n, k = len(grade), GRADES - 1
     part = weight / weight.sum()
@@ -145,16 +145,16 @@ def ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarr
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for step in range(1, steps + 1):
         score = np.bincount(row, value * weights[col], n)
-        thresholds = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
-        above = np.column_stack([np.ones(n), *(sigmoid(score - t) for t in thresholds), np.zeros(n)])
+        cuts = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
+        above = np.column_stack([np.ones(n), *(sigmoid(score - t) for t in cuts), np.zeros(n)])
         slope = above * (1 - above)
         at = np.arange(n)
         p = np.maximum(above[at, grade] - above[at, grade + 1], 1e-12)
         by_score = -(slope[at, grade] - slope[at, grade + 1]) / p * part
-        by_threshold = np.zeros(k)
+        by_cut = np.zeros(k)
         for j in range(1, k + 1):
-            by_threshold[j - 1] = (slope[:, j] / p * part * ((grade == j).astype(float) - (grade == j - 1))).sum()
-        tails = np.cumsum(by_threshold[::-1])[::-1]
+            by_cut[j - 1] = (slope[:, j] / p * part * ((grade == j).astype(float) - (grade == j - 1))).sum()
+        tails = np.cumsum(by_cut[::-1])[::-1]
         gradient = np.concatenate([np.bincount(col, value * by_score[row], width) + ridge * weights, [tails[0]], tails[1:] * np.exp(gaps)])
         moments[0] = 0.9 * moments[0] + 0.1 * gradient
         moments[1] = 0.999 * moments[1] + 0.001 * gradient**2
