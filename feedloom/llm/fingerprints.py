@@ -133,7 +133,7 @@ def with_next(docs: DataFrame, prepare=lambda df: df) -> DataFrame:
     ends = blocked.groupBy("_block").agg(F.max(F.struct("_at", "_h")).alias("_end"))
     along = Window.orderBy("_block")  # one row for each block, about MOST_BLOCKS at most
     above = ends.select("_block", "_end._at", "_end._h", F.coalesce(F.lead("_block").over(along), F.min("_block").over(Window.partitionBy(F.lit(0)))).alias("_above"))
-    sent = blocked.join(above, ["_block", "_at", "_h"], "left")
+    sent = blocked.join(F.broadcast(above), ["_block", "_at", "_h"], "left")  # bounded as the blocks are, some 40 MB at most
     targets = F.array_compact(F.array(F.struct(F.col("_block").alias("b"), F.lit(0).alias("g")), F.when(F.col("_above").isNotNull(), F.struct(F.col("_above").alias("b"), F.lit(1).alias("g")))))
     kept = [c for c in docs.columns if c in ("doc_id", "text", "_at", "_h") or not c.startswith("_")]
     dealt = sent.withColumn("_to", F.explode(targets)).select(*kept, F.col("_to.b").alias("_block"), F.col("_to.g").alias("_ghost"))

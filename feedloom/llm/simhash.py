@@ -31,6 +31,11 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     hashes = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64)
+    return folded(hashes)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: a bit is 1 where over half of them have it."""
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
         counts += np.unpackbits(hashes[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
