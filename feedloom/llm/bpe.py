@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.shared import slices
+from feedloom.llm.shared import mapped, slices
 
 # Fixed value: how byte-level BPE vocabularies of this family split a text into pre-tokens.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -155,7 +155,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         for part in slices(batches, "text"):
             yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [encode(t) for t in part["text"]]})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
+    return mapped(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -172,7 +172,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             hashes = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
             yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(i) for i in ids], "ids": ids, "n_chars": [len(t) for t in texts], "decoded_sha256": hashes})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, n_chars long, decoded_sha256 string")
+    return mapped(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, n_tokens long, ids array<int>, n_chars long, decoded_sha256 string")
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
@@ -203,4 +203,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             out.insert(0, "doc_id", part["doc_id"])
             yield out
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -29,6 +29,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that a Python worker is handed.
+ROWS = 1_000
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInPandas(run, schema) by batches of ROWS rows at most, so that a worker holds few whole texts at a time. The session keeps the setting."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS:
+        conf.set(name, str(ROWS))
+    return df.mapInPandas(run, schema)
+
+
 def slices(batches: Iterator[pd.DataFrame], column: str, most: int = 8_000_000) -> Iterator[pd.DataFrame]:
     """The batches cut so that the texts (or bytes) of a slice stay near ``most`` characters; a longer row stands alone."""
     for batch in batches:

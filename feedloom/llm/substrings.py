@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.shared import slices, written
+from feedloom.llm.shared import mapped, slices, written
 
 WINDOW = 20
 GRAM = 9
@@ -166,7 +166,7 @@ def anchor_counts(texts: DataFrame) -> DataFrame:
         for *_, (keys, _, _) in _scanned(batches):
             yield pd.DataFrame({"key": keys.view(np.int64)})
 
-    return texts.select("text").mapInPandas(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return mapped(texts.select("text"), run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def dealt_snippets(texts: DataFrame, marked: Filter, hot: Filter, shards: int) -> DataFrame:
@@ -182,7 +182,7 @@ def dealt_snippets(texts: DataFrame, marked: Filter, hot: Filter, shards: int) -
             cut = [b" ".join(words[i : j + WINDOW - 1]) for i, j in zip(a.tolist(), b.tolist())]
             yield pd.DataFrame({"shard": (keys % np.uint64(shards)).astype(np.int64), "first": part["first"].to_numpy()[row], "hash": part["hash"].to_numpy()[row], "at": (a - bounds[row]).astype(np.int32), "text": cut})
 
-    return texts.select("first", "hash", "text").mapInPandas(run, f"shard long, {KEYS}, at int, text binary")
+    return mapped(texts.select("first", "hash", "text"), run, f"shard long, {KEYS}, at int, text binary")
 
 
 def hot_snippets(texts: DataFrame, hot: Filter) -> DataFrame:
@@ -198,7 +198,7 @@ def hot_snippets(texts: DataFrame, hot: Filter) -> DataFrame:
             cut = [b" ".join(words[i : j + WINDOW - 1]) for i, j in zip(a.tolist(), b.tolist())]
             yield pd.DataFrame({"key": keys.view(np.int64), "sign": list(map(xxhash.xxh3_128_digest, cut)), "first": part["first"].to_numpy()[row], "hash": part["hash"].to_numpy()[row], "at": (a - bounds[row]).astype(np.int32), "n": (b - a + WINDOW - 1).astype(np.int32), "text": cut})
 
-    return texts.select("first", "hash", "text").mapInPandas(run, f"key long, sign binary, {KEYS}, at int, n int, text binary")
+    return mapped(texts.select("first", "hash", "text"), run, f"key long, sign binary, {KEYS}, at int, n int, text binary")
 
 
 def _windows(heads: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def _windows(heads: DataFrame) -> DataFrame:
             at = np.repeat(part["at"].to_numpy(), n) + np.concatenate([np.arange(k) for k in n])
             yield pd.DataFrame(marks | {"first": np.repeat(part["first"].to_numpy(), n), "hash": np.repeat(part["hash"].to_numpy(), n), "at": at.astype(np.int32)})
 
-    return heads.select("first", "hash", "at", "text").mapInPandas(run, f"w1 long, w2 long, {KEYS}, at int")
+    return mapped(heads.select("first", "hash", "at", "text"), run, f"w1 long, w2 long, {KEYS}, at int")
 
 
 def _not_first(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.shared import checkpointed, slices
+from feedloom.llm.shared import checkpointed, mapped, slices
 
 #: Bounds of the labelled sample that a model is fitted on, by label (documented parameters).
 MOST_TOXIC, MOST_CLEAN = 4_000, 8_000
@@ -47,7 +47,7 @@ class Model:
 class Hits(dict):
     """word -> indices of its features; remembers up to ``most`` words."""
 
-    def __init__(self, index: dict[str, int], most: int = 500_000):
+    def __init__(self, index: dict[str, int], most: int = 100_000):
         self.index, self.most = index, most
 
     def __missing__(self, word: str) -> tuple[int, ...]:
@@ -95,7 +95,7 @@ def telling(sample: DataFrame) -> list[str]:
     n = sample.agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).first()
     if not n["toxic"] or not n["clean"]:
         return []
-    counts = sample.mapInPandas(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counts = mapped(sample, run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     t, c, nt, nc = F.col("t"), F.col("c"), F.lit(float(n["toxic"])), F.lit(float(n["clean"]))
     share = (t + c) / (nt + nc)
     term = lambda seen, expected: F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             counts = [hits.counts(t) for t in part["text"]]
             yield pd.DataFrame({"toxic": part["toxic"], "weight": part["weight"], "at": [list(c) for c in counts], "n": [list(c.values()) for c in counts]})
 
-    rows = sample.mapInPandas(run, "toxic int, weight double, at array<int>, n array<int>").collect()
+    rows = mapped(sample, run, "toxic int, weight double, at array<int>, n array<int>").collect()
     toxic = np.array([r["toxic"] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r["at"]) for r in rows])
     col = np.array([i for r in rows for i in r["at"]], np.int64)
@@ -181,4 +181,4 @@ def graded(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
             yield part[keep].assign(severity=above.sum(1), p_toxic=above[:, 0], grade=(steps[:, :-1] - steps[:, 1:]).argmax(1).astype(np.int32), toxic=above[:, 0] >= REJECT_AT)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{schema}, severity double, p_toxic double, grade int, toxic boolean")
+    return mapped(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{schema}, severity double, p_toxic double, grade int, toxic boolean")
