@@ -144,7 +144,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: in
 
     # numbering: each bucket counts by itself, and the buckets before it are summed, so that no task has a whole source
     mark = F.xxhash64("doc_id", F.lit(77))
-    dealt = keyed.join(buckets, "_key")
+    dealt = keyed.join(F.broadcast(buckets), "_key")  # a row for each source, which the driver has had
     dealt = dealt.withColumn("_bucket", F.pmod(mark, "_buckets"))
     counts = checkpointed(dealt.groupBy("_key", "_bucket").agg(F.count("*").alias("_rows")))
     whole = Window.partitionBy("_key").orderBy("_bucket")
@@ -156,5 +156,6 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: in
     blocked = placed.withColumn("_block", F.floor(number / block)).withColumn("_in", number % block)
     blocked = blocked.withColumn("_turn", F.col("_block") % F.col("_quota")).withColumn("_round", F.floor(F.col("_block") / F.col("_quota")))
     slot = F.col("_round") * slots + F.col("_slot")
-    placed = blocked.join(turns.drop("_quota"), ["_key", "_turn"]).withColumn("_slot", slot)
+    # a round has PARTS slots or ROUND_EACH for each source: 40 MB for a million
+    placed = blocked.join(F.broadcast(turns.drop("_quota")), ["_key", "_turn"]).withColumn("_slot", slot)
     return placed.select(*(docs[c] for c in docs.columns), F.col("_slot").alias("slot"), (F.col("_slot") * block + F.col("_in")).alias("position"))
