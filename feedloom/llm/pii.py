@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -188,8 +188,9 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
 def spans(text: str | None) -> tuple[dict[str, list[Span]], list[tuple[str, int, int]]]:
     """(base spans by kind, all spans as (kind, start, end) by kind, then start).
 
-    The disguised ones are found in the rewritten text by the same patterns and mapped back;
-    those that meet a base span of their kind add nothing.
+    The disguised ones are found in the rewritten text by the same patterns and mapped back. One that
+    meets base spans of its kind is added where it holds them whole and reaches beyond them, as of an
+    address that a strange letter cuts in two.
     """
     text = text or ""
     plain = base(text)
@@ -201,8 +202,8 @@ def spans(text: str | None) -> tuple[dict[str, list[Span]], list[tuple[str, int,
         for kind, more in base(again.text).items():
             taken = plain[kind]
             for a, b in (again.source(*s) for s in more):
-                i = bisect_right(taken, (a, len(text) + 1))
-                if not (i and taken[i - 1][1] > a) and not (i < len(taken) and taken[i][0] < b):
+                met = taken[bisect_right(taken, a, key=lambda s: s[1]) : bisect_left(taken, b, key=lambda s: s[0])]
+                if (a, b) not in met and all(a <= start and end <= b for start, end in met):
                     found.append((kind, a, b))
         found.sort(key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
     return plain, found
@@ -234,10 +235,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: str, found: list[tuple[str, int, int]]) -> str:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the earlier, longer one."""
+    """The text with each span replaced by its kind in brackets; spans that overlap make one gap, of the earliest, longest one's kind."""
     out, at = [], 0
     for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2])):
         if a >= at:
             out += [text[at:a], f"[{kind.upper()}]"]
-            at = b
+        at = max(at, b)
     return "".join([*out, text[at:]])
