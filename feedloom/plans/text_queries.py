@@ -99,12 +99,28 @@ def dd03_similar_classes(spark, sf_dir):
     return rec.similar_classes(classes).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+#: Links of duplicates; which records are primary follows record by record, in each connector.
+LINKS_SQL = (
+    f"with recursive {RECORDS_SQL}, {EXACT_SQL},"
+    + r""" rest as (select record_id, connector, list_distinct(regexp_extract_all(lower(normalized), '[a-z0-9]+')) as t from records where deleted_at is null and length(normalized) >= 20 and record_id not in (select record_id from exact)),
+    pairs as (select a.record_id as a, b.record_id as b, case when len(a.t) = 0 and len(b.t) = 0 then 1.0 else len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::double end as similarity
+      from rest a join rest b on a.connector = b.connector and a.record_id < b.record_id),
+    alike as (select * from pairs where similarity >= 0.85),
+    numbered as (select record_id, connector, row_number() over (partition by connector order by record_id) as n, coalesce((select list(a) from alike where b = record_id), []) as earlier from rest),
+    walk as (select distinct connector, 0::bigint as n, []::bigint[] as primaries from numbered
+      union all select w.connector, x.n, case when list_has_any(w.primaries, x.earlier) then w.primaries else list_append(w.primaries, x.record_id) end from walk w join numbered x on x.connector = w.connector and x.n = w.n + 1),
+    chosen as (select distinct unnest(primaries) as a from walk),
+    near as (select b as record_id, a as canonical_id, 'near' as duplicate_type, similarity from alike join chosen using (a) qualify row_number() over (partition by b order by similarity desc, a desc) = 1),
+    links as (select record_id, canonical_id, duplicate_type, round(similarity, 6) as similarity, 'rule' as method, 1 as version from (select *, 1.0::double as similarity from exact union all select * from near)) """
+)
+
+
+@query(LINKS_SQL + "select * from links")
 def dd05_duplicate_links(spark, sf_dir):
-    return rec.duplicate_links(records(spark, sf_dir))
+    return rec.duplicate_links(records(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(LINKS_SQL + "select count(*) as processed, count(*) filter (where record_id in (select record_id from links)) as duplicates, count(*) filter (where quality = 'malformed') as malformed from records")
 def dd07_summary(spark, sf_dir):
     r = records(spark, sf_dir)
     return rec.summary(rec.with_primary(r, rec.duplicate_links(r)))
