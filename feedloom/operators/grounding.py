@@ -49,6 +49,30 @@ def question_status(grounding: Column) -> Column:
     return F.when(grounding == "passed", "completed").when(grounding.isNull(), "failed").otherwise("completed_with_warnings")
 
 
+#: The steps of a question in their order, each with the status that it stands for once begun.
+STEPS = ("created", "planning", "retrieving", "generating", "answered")
+
+
+def question_states(log: DataFrame) -> DataFrame:
+    """log (question_id, step, at, failure_code, grounding_status) to (question_id, status, started_at, completed_at, failure_code).
+
+    A failure ends a question, whatever came before; an answer ends it by its grounding; else it
+    stands at its furthest step. It starts with its planning. Steps that aren't known, and rows
+    of no question, are left out.
+    """
+    known = log.where(F.col("step").isin(*STEPS) & F.col("question_id").isNotNull()).withColumn("_place", F.array_position(F.array(*map(F.lit, STEPS)), F.col("step")))
+    failed = F.col("failure_code").isNotNull()
+    q = known.groupBy("question_id").agg(
+        F.max("_place").alias("_furthest"),
+        F.min(F.when(F.col("step") == "planning", F.col("at"))).alias("started_at"),
+        F.min(F.when(failed, F.struct("at", "failure_code"))).alias("_failure"),
+        F.max(F.when((F.col("step") == "answered") & ~failed, F.struct("at", "grounding_status"))).alias("_answer"),
+    )
+    open_status = F.element_at(F.array(*map(F.lit, STEPS)), F.col("_furthest").cast("int"))
+    status = F.when(F.col("_failure").isNotNull(), "failed").when(F.col("_answer").isNotNull(), question_status(F.col("_answer.grounding_status"))).otherwise(open_status)
+    return q.select("question_id", status.alias("status"), "started_at", F.coalesce("_failure.at", "_answer.at").alias("completed_at"), F.col("_failure.failure_code").alias("failure_code"))
+
+
 def publishability(insights: DataFrame) -> DataFrame:
     """insights (insight_id, insight_type, has_theme_link, support_count, recommendation, opportunity_score, has_components) with violated and publishable. A rule may be violated twice."""
     rules = F.array(

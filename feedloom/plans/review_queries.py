@@ -180,3 +180,22 @@ def rd03_evidence_detail(spark, sf_dir):
     r = records(spark, sf_dir).withColumn("redacted", F.col("normalized"))
     names = r.select("connector", F.col("connector").alias("display")).distinct()
     return reads.evidence_detail(r, names, 97).drop("published_at")
+
+
+@query(
+    """with l as (select doc_id // 5 as question_id, ['created', 'planning', 'retrieving', 'generating', 'answered'][(doc_id % 5 + 1)::int] as step, timestamp '2024-01-01' + to_minutes(doc_id) as ts,
+      case when doc_id % 41 = 0 then 'ModelError' end as failure_code, case doc_id % 3 when 0 then 'passed' when 1 then 'passed_with_warnings' else 'failed' end as grounding from documents where doc_id % 7 <> 0),
+    q as (select question_id, bool_or(failure_code is not null) as failed, arg_min(failure_code, ts) filter (failure_code is not null) as failure_code, min(ts) filter (failure_code is not null) as failed_at,
+      min(ts) filter (step = 'planning') as started_at, max(ts) filter (step = 'answered') as answered_at, arg_max(grounding, ts) filter (step = 'answered') as grounding, arg_max(step, ts) as furthest from l group by question_id)
+    select question_id, case when failed then 'failed' when answered_at is null then furthest when grounding = 'passed' then 'completed' else 'completed_with_warnings' end as status,
+      started_at, case when failed then failed_at else answered_at end as completed_at, failure_code from q"""
+)
+def qa07_question_states(spark, sf_dir):
+    log = _docs(spark, sf_dir).where("doc_id % 7 != 0").select(
+        F.floor(_id() / 5).alias("question_id"),
+        F.get(F.array(*map(F.lit, grounding.STEPS)), (_id() % 5).cast("int")).alias("step"),
+        F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, cast(doc_id as int))").alias("at"),
+        F.when(_id() % 41 == 0, "ModelError").alias("failure_code"),
+        F.get(F.array(F.lit("passed"), F.lit("passed_with_warnings"), F.lit("failed")), (_id() % 3).cast("int")).alias("grounding_status"),
+    )
+    return grounding.question_states(log)
