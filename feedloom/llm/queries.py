@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, embedding_dedup, fingerprints, mixing, pii, secrets, simhash, substrings, token_counts, toxicity
+from feedloom.llm import bpe, divergence, embedding_dedup, fingerprints, lexical_search, mixing, pii, secrets, simhash, substrings, token_counts, toxicity, vector_search
 from feedloom.llm.shared import read
 
 
@@ -88,8 +88,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and the terms that tell it from its language. Null texts, languages and sources count as ''."""
+    return divergence.audited(read(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item. Null texts hold no term; a null doc_id comes first among equals; repeated rows are documents of their own."""
+    return lexical_search.searched(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of highest inner product for every vector whose id is divisible by 20. Unusable vectors take no part; a null id comes last among equals."""
+    return vector_search.searched(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_fingerprints": op2_fingerprints, "op3_embedding_dedup": op3_embedding_dedup, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op8_substrings": op8_substrings, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+    return {"op1_token_counts": op1_token_counts, "op2_fingerprints": op2_fingerprints, "op3_embedding_dedup": op3_embedding_dedup, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op8_substrings": op8_substrings, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe, "op11_divergence": op11_divergence, "op12_lexical_search": op12_lexical_search, "op13_vector_search": op13_vector_search}
 
 
 #: All pairs of vectors, and the least id that links reach from each.
@@ -107,5 +122,37 @@ gone as (select doc_id, list(distinct i + k) as spots from late, range(0, 20) as
 select doc_id, len(words) as n_words, coalesce(len(spots), 0) as n_removed, sha256(array_to_string(case when spots is null then words else list_filter(words, lambda w, n: not list_contains(spots, n)) end, ' ')) as kept_sha256 from d left join gone using (doc_id)"""
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Every kept term in every group, with zero counts written out.
+DIVERGENCE_SQL = rf"""with d as (select row_number() over () as id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+w as (select id, lang, source, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term from w group by lang, term having count(distinct id) >= 10),
+sizes as (select lang, count(*) as v from kept group by lang),
+counts as (select lang, source, term, count(*) as n from w join kept using (lang, term) group by all),
+groups as (select distinct lang, source from d),
+whole as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, s.v from groups g join kept k using (lang) join sizes s using (lang) left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+p as (select lang, source, term, n, 1 + (1000000000 * (n + 2)::hugeint) // (sum(n) over (partition by lang, source) + 2 * v) as p from whole),
+langs as (select lang, term, 1 + (1000000000 * (sum(n) + 2)::hugeint) // (sum(sum(n)) over (partition by lang) + 2 * max(v)) as q from whole group by lang, term),
+pairs as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+all_pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select p.lang, p.source, 'term' as part, p.term as item, ((p.p - q) * (p.p - q)) // (p.p + q) as value from p join langs using (lang, term) where p.n > 0 and p.p > q)
+select lang, source, part, item, value::bigint as value, rank::int as rank from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from all_pairs union all select * from terms)) where part = 'pair' or rank <= 10"""
+
+#: Every document's score for every item.
+LEXICAL_SQL = rf"""with d as (select row_number() over () as id, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+lengths as (select id, doc_id, len(words) as n from d where len(words) > 0),
+whole as (select count(*) as docs, sum(n)::bigint as tokens from lengths),
+tf as (select id, term, count(*) as tf from (select id, unnest(words) as term from d) group by all),
+weights as (select term, floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1)))::bigint as w from tf, whole group by term),
+items as (select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+scores as (select item_id, id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // tokens)))) as score from items join tf using (term) join weights using (term) join lengths using (id), whole group by all)
+select item_id, rank::int as rank, doc_id, score::bigint as score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0) where rank <= 20"""
+
+#: Every query against every other row.
+VECTOR_SQL = """with v as (select row_number() over () as id, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as x from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by q order by score desc, vec_id) as rank from (select a.id as q, a.vec_id as query_id, b.vec_id, list_dot_product(a.x, b.x)::bigint as score from v a join v b on a.vec_id % 20 = 0 and a.id <> b.id)) where rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": EMBEDDING_SQL, "op8_substrings": SUBSTRING_SQL}
+    return {"op3_embedding_dedup": EMBEDDING_SQL, "op8_substrings": SUBSTRING_SQL, "op11_divergence": DIVERGENCE_SQL, "op12_lexical_search": LEXICAL_SQL, "op13_vector_search": VECTOR_SQL}

@@ -10,7 +10,7 @@ SMALL = "/root/testdata/sf0.01"
 
 def both(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in want.description]
