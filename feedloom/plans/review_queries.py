@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from feedloom.operators import embedding, evaluation, grounding, insights, reads, retrieval
+from feedloom.operators import embedding, evaluation, grounding, insights, reads, retrieval, vector_index
 from feedloom.operators import records as rec
 from feedloom.operators import themes as th
 from feedloom.plans.fixtures import ELIGIBLE_SQL, MEMBERS_SQL, RAW_SQL, RECORDS_SQL, memberships, raw, records, table
-from feedloom.plans.registry import query
+from feedloom.plans.registry import SQL, query
+from feedloom.storage import shared_folder
 
 def _id():
     return F.col("doc_id")
@@ -45,6 +48,17 @@ def wn09_nearest(spark, sf_dir):
     return retrieval.nearest(v, asked).select("query_id", "record_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query(SQL["wn09_nearest"])
+def vc05_index_search(spark, sf_dir):
+    """The same by a stored index, built from half of the vectors, to which the other half is added."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), "embedding")
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    vector_index.build(v.where("record_id % 2 = 0"), path)
+    vector_index.add(v.where("record_id % 2 <> 0"), path)
+    asked = v.where("record_id % 50 = 0").withColumnRenamed("record_id", "query_id")
+    return vector_index.search(asked, path, exact=True).select("query_id", "record_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"with {RECORDS_SQL} select record_id from records r where {ELIGIBLE_SQL} and not exists (select 1 from embeddings e where e.vec_id = r.record_id and e.vec_id % 2 = 0)")
 def fl03_unembedded(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("configuration"), F.lit("feedback_record").alias("object_type"), F.col("vec_id").alias("object_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.operators import clustering, evaluation, grounding, reads, retrieval
+from feedloom.operators import clustering, evaluation, grounding, hierarchy, reads, retrieval
 from feedloom.operators import records as rec
 from feedloom.operators import themes as th
 from feedloom.plans.fixtures import AS_OF, LABELS_SQL, MEMBERS_SQL, RAW_SQL, RECORDS_SQL, THEMES_SQL, labels, memberships, raw, records, table, themes, vectors
@@ -108,6 +108,11 @@ def vc06_density_clusters(spark, sf_dir):
     return clustering.clustered(vectors(spark, sf_dir).select("record_id", "embedding"))
 
 
+@query()
+def vc06_theme_hierarchy(spark, sf_dir):
+    return hierarchy.clustered(vectors(spark, sf_dir).select("record_id", "embedding"))
+
+
 QUERY_SQL = "q as (select embedding::double[] as q from embeddings where vec_id = 0)"
 
 
