@@ -73,7 +73,8 @@ def components(edges: DataFrame) -> DataFrame:
     execution can split where one id is a hub. Nulls and loops link nothing; no edges give no rows.
     """
     a, b = F.col("a"), F.col("b")
-    now = checkpointed(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
+    # written tables tell their sizes; a checkpoint keeps its plan's estimate, which such joins would square round by round
+    now = written(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     before = None
     while (state := _state(now)) != before:
         before = state
@@ -82,7 +83,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = checkpointed(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         least = checkpointed(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
-        now = checkpointed(small.select("e.*").where("hi != lo").distinct())
+        now = written(small.select("e.*").where("hi != lo").distinct())
     return now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
 
 

@@ -92,10 +92,10 @@ def removed_rows(docs):
     return sorted((d, len(w), len(gone[d]), sha(" ".join(x for n, x in enumerate(w) if n not in gone[d]))) for d, w in split.items())
 
 
-def linked_vectors(rows, threshold=0.9):
+def linked_vectors(rows, least=0.9):
     """rows: (vec_id, vector); (vec_id, n_links, component_id, kept)."""
     fit = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    links = [(a, b) for n, (a, x) in enumerate(fit) for b, y in fit[:n] if len(x) == len(y) and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= threshold]
+    links = [(a, b) for n, (a, x) in enumerate(fit) for b, y in fit[:n] if len(x) == len(y) and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= least]
     degree = Counter(i for link in links for i in link)
     root = components({i for i, _ in rows if i is not None}, links)
     return sorted(((i, degree[i], root[i], root[i] == i) for i, _ in rows if i is not None))
