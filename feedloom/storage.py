@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tabled(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read again. Unlike ``stored`` it tells its real size: a checkpoint keeps its plan's estimate, which joins in a loop would square round by round."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table of fewer files than there are cores, dealt out evenly over them; larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
