@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from html.parser import HTMLParser
@@ -27,6 +28,10 @@ ADDRESS = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9
 # What the HTML of pages holds that ask whether the reader is a robot.
 CHALLENGES = ("g-recaptcha", "cf-challenge", "captcha-delivery", 'id="challenge-running"')
 SKIPPED = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside"}
+#: Skipped elements that no reader sees: nothing in them is text, closed or not. Elements that begin a page's text; those without an end.
+UNSEEN = {"script", "style", "noscript", "template"}
+BODIES = {"p", "article"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 PAGE = StructType([StructField(n, StringType()) for n in ("title", "body", "author", "date", "site", "status")])
 BLOCKS = {"p", "div", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "article", "section", "td"}
 
@@ -62,34 +67,69 @@ def links(url: Column, html: Column) -> Column:
 
 
 class _Page(HTMLParser):
+    """Parts of a page's text. What stands in a skipped element goes with its end tag; of one that isn't closed before its
+    parent (or the page) ends, only what comes before its first paragraph, article or main part goes."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.skip, self.in_title, self.title, self.parts, self.meta = 0, False, [], [], {}
+        self.in_title, self.title, self.parts, self.meta = False, [], [], {}
+        # open elements; of a skipped one where its text starts, and where its first paragraph does
+        self.open: list[tuple[str, list[int | None] | None]] = []
+        self.count, self.waiting = Counter(), []  # open elements by tag; skipped ones without a paragraph so far
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag in SKIPPED:
-            self.skip += 1
+        if tag == "meta" and (name := a.get("name") or a.get("property")):
+            self.meta.setdefault(name, a.get("content"))
         elif tag == "title":
             self.in_title = True
-        elif tag == "meta" and (name := a.get("name") or a.get("property")):
-            self.meta.setdefault(name, a.get("content"))
         elif tag in BLOCKS:
+            if tag in BODIES:
+                self._body_starts()
             self.parts.append("\n")
+        elif tag == "main":
+            self._body_starts()
+        if tag not in VOID:
+            skip = [len(self.parts), None] if tag in SKIPPED else None
+            self.open.append((tag, skip))
+            self.count[tag] += 1
+            if skip and tag not in UNSEEN:
+                self.waiting.append(skip)
+
+    def _body_starts(self):
+        for skip in self.waiting:
+            skip[1] = len(self.parts)
+        self.waiting = []
+
+    def _pop(self):
+        tag, skip = self.open.pop()
+        self.count[tag] -= 1
+        return skip
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "title":
+        if tag == "title":
             self.in_title = False
         elif tag in BLOCKS:
             self.parts.append("\n")
+        if self.count[tag]:
+            while self.open[-1][0] != tag:
+                self._unclosed(self._pop())
+            if skip := self._pop():
+                del self.parts[skip[0] :]
+                if tag not in UNSEEN:
+                    self.parts.append("\n")
+
+    def _unclosed(self, skip):
+        if skip:
+            del self.parts[skip[0] : skip[1]]
 
     def handle_data(self, data):
-        if self.in_title:
-            self.title.append(data)
-        elif not self.skip:
-            self.parts.append(data)
+        (self.title if self.in_title else self.parts).append(data)
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._unclosed(self._pop())
 
 
 def page(html: str | None) -> dict:
