@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.plans import feed_queries, fixtures, landing_queries, review_queries, stream_queries, text_queries, theme_queries  # noqa: F401  the modules register their queries
+from feedloom.plans import feed_queries, fixtures, keyword_queries, landing_queries, review_queries, stream_queries, text_queries, theme_queries  # noqa: F401  the modules register their queries
 from feedloom.plans.registry import QUERIES, SQL
 
 
