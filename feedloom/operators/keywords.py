@@ -46,13 +46,13 @@ def postings(records: DataFrame, parts: int = PARTS) -> DataFrame:
 
 
 def write(records: DataFrame, path: str, parts: int = PARTS, splits: int = 8) -> None:
-    """Adds the records' postings to those stored under ``path``; a part's rows are dealt over ``splits`` files by their text, sorted by term.
+    """Adds the records' postings to those stored under ``path``; a part's rows are dealt over ``splits`` tasks by their text, fewer where the planner merges small ones, and sorted by term.
 
     More records are added by writing them; the ones that are there stay as they are. One shuffle, whose
     largest piece is a split of a part: a word that every text has is one row for each text and goes to all splits of its part.
     """
     split = F.pmod(F.xxhash64("record_id"), F.lit(splits))
-    dealt = postings(records, parts).repartition(parts * splits, "part", split).sortWithinPartitions("part", "term", "record_id")
+    dealt = postings(records, parts).repartition("part", split).sortWithinPartitions("part", "term", "record_id")
     dealt.write.mode("append").partitionBy("part").parquet(path, compression="zstd")
 
 
