@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedloom.storage import stored
+from feedloom.storage import tabled
 
 MOST = 40
 #: Folders that the terms are dealt over; a search of few terms opens theirs only.
@@ -92,13 +92,13 @@ def search(stock: DataFrame, questions: DataFrame, most: int = MOST, parts: int
     no word's postings meet in one task. A question without words finds nothing, and ids that are null don't take part.
     """
     asked = questions.where("question_id is not null").select("question_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    asked = stored(asked.distinct().withColumn("part", _part(F.col("term"), parts)))
+    asked = tabled(asked.distinct().withColumn("part", _part(F.col("term"), parts)))
     opened = [r["part"] for r in asked.select("part").distinct().collect()]  # as many as there are parts, at most
     mine = stock.where(F.col("part").isin(opened)).join(asked.select("term", "part").distinct(), ["part", "term"], "left_semi")
     counts = mine.groupBy("term").agg(F.count("*").alias("texts"))
     by_question = Window.partitionBy("question_id").orderBy(F.coalesce("texts", F.lit(0)), "term")
     numbered = asked.join(counts, "term", "left").withColumn("n", F.row_number().over(by_question) - 1)
-    numbered = stored(numbered.withColumn("size", F.count("*").over(Window.partitionBy("question_id"))).select("question_id", "term", "part", "n", "size"))
+    numbered = tabled(numbered.withColumn("size", F.count("*").over(Window.partitionBy("question_id"))).select("question_id", "term", "part", "n", "size"))
     found = mine.join(numbered.where("n = 0").select("question_id", "term", "part", "size"), ["part", "term"]).select("question_id", "record_id", "size", "places")
     others = numbered.where("n > 0")
     wanted = found.select("question_id", "record_id").join(others, "question_id").join(mine, ["part", "term", "record_id"])
