@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions import privacy, text
-from feedloom.storage import stored
+from feedloom.storage import tabled
 
 LEAST_NEAR, NEAR = 20, 0.85
+#: Buckets that words are counted in for their order, and sets that a task takes at once.
+BUCKETS, ROWS = 1 << 18, 2_048
+#: Bits that tell how much two sets differ at least, those of sets of so many words or more, and the longs of the first.
+BITS, WIDER, WIDE = 256, 1_024, 640
+LONGS = BITS // 64
+#: What rounding can do to a bound on sizes.
+CLOSE = 1e-6
 
 
 def canonical(raw: DataFrame, code: Column | None = None) -> DataFrame:
@@ -63,54 +75,97 @@ def token_classes(records: DataFrame) -> DataFrame:
     return sets.groupBy("scope", "words").agg(F.min("record_id").alias("class_id"), F.count("*").alias("members"))
 
 
+def _prefixes(classes: DataFrame, least: float) -> DataFrame:
+    """(scope, class_id, n, key, at, bits..): hashes of each set's first words from the rarest on, as many as a set as like as ``least`` must share one of, with their places.
+
+    Any one order of words serves: here by how often a word's bucket occurs, then by its hash, so that no word
+    leaves its set to be counted. bits: of each part of the hashes whether the set has an odd number, in longs; a set of WIDE
+    words or more has WIDER bits, which fold to those of a smaller one, whose other longs are zero.
+    """
+    words = F.transform("words", lambda w: F.xxhash64(w))
+    known = classes.select(F.explode(words).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).agg(F.count("*").alias("n")).toArrow()  # BUCKETS rows at most
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[known["bucket"].to_numpy()] = known["n"].to_numpy()
+    shared = classes.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                sizes = part["h"].str.len().to_numpy(np.int64)
+                h, row = np.concatenate(part["h"].to_list()), np.repeat(np.arange(len(part)), sizes)
+                odd = (np.bincount(row * WIDER + (h >> 32 & WIDER - 1), minlength=len(part) * WIDER) & 1).astype(np.uint8)
+                bits = np.packbits(odd.reshape(-1, WIDER), axis=1).view(np.int64)
+                few = sizes < WIDE
+                bits[few, :LONGS] = np.bitwise_xor.reduce(bits[few].reshape(-1, WIDER // BITS, LONGS), axis=1)
+                bits[few, LONGS:] = 0
+                often = shared.value[h & BUCKETS - 1]
+                order = np.lexsort((h, often, row))
+                h, often, place = h[order], often[order], np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                # what no other set has can't be shared
+                kept = (place < (sizes - np.ceil(sizes * least - CLOSE).astype(np.int64) + 1)[row]) & (often > 1)
+                row = row[kept]
+                out = {"scope": part["scope"].to_numpy()[row], "class_id": part["class_id"].to_numpy()[row], "n": sizes[row], "key": h[kept], "at": place[kept]}
+                yield pd.DataFrame(out | {f"bits{i}": bits[row, i] for i in range(WIDER // 64)})
+
+    longs = ", ".join(f"bits{i} long" for i in range(WIDER // 64))
+    sets = classes.where(F.size("words") > 0).select("scope", "class_id", words.alias("h"))
+    return sets.mapInPandas(first, f"scope {classes.schema['scope'].dataType.simpleString()}, class_id long, n int, key long, at int, {longs}")
+
+
 def similar_classes(classes: DataFrame, least: float = NEAR) -> DataFrame:
     """(scope, a, b, similarity), a < b: pairs of different token sets of one scope whose Jaccard likeness reaches ``least``.
 
-    Prefix filtering: tokens are ordered from the rarest, and two sets as like as that must
-    share one among their first size - ceil(least * size) + 1. Sizes and places are tested
-    in the join, whole sets right after it.
+    Prefix filtering: in an order from the rarest word on, two sets as like as that must share one
+    among their first size - ceil(least * size) + 1. In the join itself sizes and places are tested, and by
+    their bits how much two sets differ at least; only what passes meets the whole sets. ``classes`` is
+    read several times, so give a stored table.
     """
-    spread = classes.select("scope", "class_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    counted = spread.join(stored(spread.groupBy("scope", "word").agg(F.count("*").alias("df"))), ["scope", "word"])
-    ordered = counted.groupBy("scope", "class_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "word"))).alias("sorted"))
-    ordered = stored(ordered.withColumn("words", F.transform("sorted", lambda x: x["word"])).drop("sorted"))
-    prefix = F.slice("words", 1, (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
-    keyed = ordered.select("scope", "class_id", "n", F.posexplode(prefix).alias("at", "word"))
+    keyed = _prefixes(classes, least)
     a, b = keyed.alias("a"), keyed.alias("b")
     most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    need = F.ceil(least / (1 + least) * (F.col("a.n") + F.col("b.n")))
-    fits = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least) & (most >= need - F.least("a.at", "b.at"))
-    pairs = a.join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.class_id") < F.col("b.class_id")) & fits)
-    pairs = pairs.select("a.scope", F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct()
-    sets = ordered.select("scope", "class_id", "words")
+    need = F.ceil(least / (1 + least) * (F.col("a.n") + F.col("b.n")) - CLOSE)
+    unlike = [F.col(f"a.bits{i}").bitwiseXOR(F.col(f"b.bits{i}")) for i in range(WIDER // 64)]
+    differ = reduce(add, map(F.bit_count, unlike)), reduce(add, (F.bit_count(reduce(Column.bitwiseXOR, unlike[i::LONGS])) for i in range(LONGS)))
+    differ = F.when(F.least("a.n", "b.n") >= WIDE, differ[0]).otherwise(differ[1])
+    fits = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - CLOSE) & (most >= need - F.least("a.at", "b.at")) & (differ <= F.col("a.n") + F.col("b.n") - 2 * need)
+    pairs = a.join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.class_id") < F.col("b.class_id")) & fits)
+    pairs = tabled(pairs.select("a.scope", F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct())
+    sets = classes.select("scope", "class_id", "words")
     whole = pairs.join(sets.select("scope", F.col("class_id").alias("a"), F.col("words").alias("x")), ["scope", "a"]).join(sets.select("scope", F.col("class_id").alias("b"), F.col("words").alias("y")), ["scope", "b"])
     return whole.withColumn("similarity", text.jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= least).select("scope", "a", "b", "similarity")
 
 
-def near_duplicates(records: DataFrame, least: float = NEAR, scope: str = "connector") -> DataFrame:
+def near_duplicates(records: DataFrame, least: float = NEAR, scope: str = "connector", without: DataFrame | None = None) -> DataFrame:
     """(record_id, canonical_id, similarity): each record that is, in order of record_id, like an earlier primary one of its scope.
 
     A record is primary if no earlier primary is like it; else it belongs to the one most like
     it, the newest of equals. Every earlier primary is compared, however many there are.
     Records decide in rounds: those whose earlier neighbours have all decided. Records of one
-    token set decide as one, since its first member always decides for the rest.
+    token set decide as one, since its first member always decides for the rest. Records in ``without``
+    (record_id) are left out; texts don't move for that, nor do the sets that stand for no other.
     """
-    fit = records.where(F.length("normalized") >= LEAST_NEAR).select(F.col(scope).alias("scope"), "record_id", text.tokens(F.col("normalized")).alias("words"))
-    fit = stored(fit.withColumn("words", F.sort_array("words")))
-    classes = stored(token_classes(fit))
-    links = stored(similar_classes(classes, least))
+    fit = records.where(F.length("normalized") >= LEAST_NEAR).select(F.col(scope).alias("scope"), "record_id", F.sort_array(text.tokens(F.col("normalized"))).alias("words"))
+    # words hold no blank, so the hash is that of the set
+    fit = tabled(fit.withColumn("same", F.sha2(F.array_join("words", " "), 256)))
+    kept = fit.select("scope", "record_id", "same")
+    kept = kept if without is None else tabled(kept.join(without.select("record_id"), "record_id", "left_anti"))
+    heads = tabled(kept.groupBy("scope", "same").agg(F.min("record_id").alias("class_id")))
+    first = heads.select("scope", "same", F.col("class_id").alias("record_id"))
+    classes = tabled(fit.join(first, ["scope", "same", "record_id"], "left_semi").select("scope", F.col("record_id").alias("class_id"), "words"))
+    links = tabled(similar_classes(classes, least))
     # b is the later of the two; its state follows from the a's
-    state = stored(links.select("scope", F.col("a").alias("id")).union(links.select("scope", F.col("b").alias("id"))).distinct().withColumn("primary", F.lit(None).cast("boolean")))
+    state = tabled(links.select("scope", F.col("a").alias("id")).union(links.select("scope", F.col("b").alias("id"))).distinct().withColumn("primary", F.lit(None).cast("boolean")))
     while state.where("primary is null").limit(1).count():
         earlier = links.join(state.select("scope", F.col("id").alias("a"), "primary"), ["scope", "a"]).groupBy("scope", F.col("b").alias("id")).agg(F.bool_or(F.coalesce("primary", F.lit(False))).alias("hit"), F.count_if(F.col("primary").isNull()).alias("open"))
         new = F.when(F.col("primary").isNotNull(), F.col("primary")).when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = stored(state.join(earlier, ["scope", "id"], "left").select("scope", "id", new.alias("primary")))
-    loners = classes.select("scope", F.col("class_id").alias("id")).join(state, ["scope", "id"], "left").select("scope", "id", F.coalesce("primary", F.lit(True)).alias("primary"))
+        state = tabled(state.join(earlier, ["scope", "id"], "left").select("scope", "id", new.alias("primary")))
+    loners = heads.select("scope", F.col("class_id").alias("id")).join(state, ["scope", "id"], "left").select("scope", "id", F.coalesce("primary", F.lit(True)).alias("primary"))
     primary = loners.where("primary").select("scope", F.col("id").alias("canonical_id"))
     both = links.select("scope", F.col("a").alias("of"), F.col("b").alias("canonical_id"), "similarity").union(links.select("scope", F.col("b").alias("of"), F.col("a").alias("canonical_id"), "similarity"))
-    both = both.union(classes.select("scope", F.col("class_id").alias("of"), F.col("class_id").alias("canonical_id"), F.lit(1.0).alias("similarity")))
+    both = both.union(heads.select("scope", F.col("class_id").alias("of"), F.col("class_id").alias("canonical_id"), F.lit(1.0).alias("similarity")))
     targets = both.join(primary, ["scope", "canonical_id"])
-    members = fit.join(classes.select("scope", "words", F.col("class_id").alias("of")), ["scope", "words"]).select("scope", "of", "record_id")
+    members = kept.join(heads.withColumnRenamed("class_id", "of"), ["scope", "same"]).select("scope", "of", "record_id")
     found = members.join(targets, ["scope", "of"]).where(F.col("canonical_id") < F.col("record_id"))
     best = found.groupBy("record_id").agg(F.max(F.struct("similarity", "canonical_id")).alias("best"))
     return best.select("record_id", F.col("best.canonical_id").alias("canonical_id"), F.col("best.similarity").alias("similarity"))
@@ -118,9 +173,8 @@ def near_duplicates(records: DataFrame, least: float = NEAR, scope: str = "conne
 
 def duplicate_links(records: DataFrame, least: float = NEAR) -> DataFrame:
     """A link for each duplicate: exact ones first, near ones among the records that are none."""
-    exact = stored(exact_duplicates(records))
-    rest = records.join(exact.select("record_id"), "record_id", "left_anti").where("deleted_at is null")
-    near = near_duplicates(rest, least).withColumn("duplicate_type", F.lit("near"))
+    exact = tabled(exact_duplicates(records))
+    near = near_duplicates(records.where("deleted_at is null"), least, without=exact).withColumn("duplicate_type", F.lit("near"))
     links = exact.withColumn("similarity", F.lit(1.0)).unionByName(near)
     return links.select("record_id", "canonical_id", "duplicate_type", "similarity", F.lit("rule").alias("method"), F.lit(1).alias("version"))
 

@@ -10,6 +10,7 @@ from feedloom.operators import records as rec
 from feedloom.operators.retrieval import filtered
 from feedloom.plans.fixtures import ELIGIBLE_SQL, KEYWORDS, LABELS_SQL, NORMAL_SQL, RAW_SQL, RECORDS_SQL, labels, raw, records, table
 from feedloom.plans.registry import query
+from feedloom.storage import tabled
 
 WITH_RECORDS = f"with {RECORDS_SQL} "
 
@@ -95,7 +96,7 @@ def dd01_exact_duplicates(spark, sf_dir):
 )
 def dd03_similar_classes(spark, sf_dir):
     r = records(spark, sf_dir).where(F.length(text.stripped(F.col("normalized"))) >= rec.LEAST_NEAR)
-    classes = rec.token_classes(r.select(F.lit(0).alias("scope"), "record_id", text.tokens(F.col("normalized")).alias("words")))
+    classes = tabled(rec.token_classes(r.select(F.lit(0).alias("scope"), "record_id", text.tokens(F.col("normalized")).alias("words"))))
     return rec.similar_classes(classes).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 

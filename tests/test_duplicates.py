@@ -48,3 +48,23 @@ def test_links_take_exact_copies_first_and_leave_deleted_records_out(spark):
     got = {r["record_id"]: (r["canonical_id"], r["duplicate_type"]) for r in rec.duplicate_links(records).collect()}
     # 2 and 4 share 12 of 14 words; 5 is 12 of 13 of 2, the newest of equals among primaries
     assert got == {3: (2, "cross_source_repost"), 4: (2, "near"), 5: (2, "near"), 6: (5, "exact")}
+
+
+def test_like_sets_of_any_size_are_found_and_unlike_ones_dont_meet(spark, monkeypatch):
+    """Sets small, wide and across that edge, at the bound and under it; most sets share common words. Only what the bits let pass meets whole sets."""
+    rng = random.Random(7)
+    common, sets = [f"c{i}" for i in range(2_000)], []
+    for size in (3, 20, 40, 100, 300, rec.WIDE - 30, rec.WIDE, rec.WIDE + 40, 1_000, 1_600):
+        for _ in range(12):
+            words = set(rng.sample(common, size))
+            sets.append(words)
+            for part in (0.03, 0.08, 0.1):
+                sets.append(set(rng.sample(sorted(words), size - int(part * size))) | {f"x{rng.random()}" for _ in range(int(part * size * rng.random()))})
+    sets = [*{tuple(sorted(s)) for s in sets}, ()]
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and len(set(a) & set(b)) / len(set(a) | set(b)) >= rec.NEAR}
+    met, was = [], rec.tabled
+    monkeypatch.setattr(rec, "tabled", lambda df: met.append(was(df)) or met[-1])
+    classes = was(spark.createDataFrame([("s", i, list(w)) for i, w in enumerate(sets)], "scope string, class_id long, words array<string>"))
+    got = {(r["a"], r["b"]) for r in rec.similar_classes(classes).collect()}
+    assert got == want and len(want) > 150
+    assert len(met) == 1 and met[0].count() < 1.5 * len(want)
