@@ -131,7 +131,8 @@ def similar_classes(classes: DataFrame, least: float = NEAR) -> DataFrame:
     fits = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - CLOSE) & (most >= need - F.least("a.at", "b.at")) & (differ <= F.col("a.n") + F.col("b.n") - 2 * need)
     pairs = a.join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.class_id") < F.col("b.class_id")) & fits)
     pairs = tabled(pairs.select("a.scope", F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct())
-    sets = classes.select("scope", "class_id", "words")
+    met = pairs.select("scope", F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    sets = classes.select("scope", "class_id", "words").join(met, ["scope", "class_id"], "left_semi")
     whole = pairs.join(sets.select("scope", F.col("class_id").alias("a"), F.col("words").alias("x")), ["scope", "a"]).join(sets.select("scope", F.col("class_id").alias("b"), F.col("words").alias("y")), ["scope", "b"])
     return whole.withColumn("similarity", text.jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= least).select("scope", "a", "b", "similarity")
 
