@@ -22,34 +22,60 @@ KEPT = "record_id long, at timestamp, words array<string>"
 
 
 class Primaries:
-    """The primaries of one scope in order of arrival, found by the first words of their sorted sets.
+    """The primaries of one scope in order of arrival, found by the rarest words of an arriving set.
 
-    Two sets whose likeness reaches ``least`` share a word among their first size - ceil(least * size) + 1
-    in any one order, here the alphabet's, so a record meets only primaries that it shares one with.
+    A set whose likeness to one of ``n`` words reaches ``least`` shares at least least * n of them, so it holds
+    one of any n - ceil(least * n) + 1: those that the fewest primaries hold are looked up. Each primary has a
+    place, and a word the places that hold it, as the bits of a number.
     """
 
     def __init__(self, least: float):
         self.least, self.held, self.by_word = least, {}, {}
-
-    def _first(self, words: tuple) -> tuple:
-        # sets without words are alike; no word is empty
-        return words[: prefix_length(len(words), self.least)] or ("",)
+        self.places, self.free = [], []
 
     def add(self, record_id: int, at, words: tuple) -> None:
-        self.held[record_id] = (at, words, frozenset(words))
-        for w in self._first(words):
-            self.by_word.setdefault(w, set()).add(record_id)
+        if not self.free:
+            self.free.append(len(self.places))
+            self.places.append(None)
+        place = self.free.pop()
+        self.places[place] = record_id
+        self.held[record_id] = (at, words, frozenset(words), place)
+        bit, by_word = 1 << place, self.by_word
+        # sets without words are alike; no word is empty
+        for w in words or ("",):
+            by_word[w] = by_word.get(w, 0) | bit
 
     def drop(self, record_id: int) -> None:
-        _, words, _ = self.held.pop(record_id)
-        for w in self._first(words):
-            self.by_word[w].discard(record_id)
+        _, words, _, place = self.held.pop(record_id)
+        self.free.append(place)
+        bit, by_word = 1 << place, self.by_word
+        for w in words or ("",):
+            if left := by_word[w] ^ bit:
+                by_word[w] = left
+            else:
+                del by_word[w]
+
+    def _sharing(self, words: tuple) -> int:
+        """The places of the primaries that hold one of the rarest words."""
+        known = [bits for w in words or ("",) if (bits := self.by_word.get(w))]
+        # the words that no primary holds are the rarest
+        looked_up = max(prefix_length(len(words), self.least), 1) - (len(words or ("",)) - len(known))
+        if looked_up <= 0:
+            return 0
+        found = 0
+        for bits in sorted(known, key=int.bit_count)[:looked_up]:
+            found |= bits
+        return found
 
     def best(self, words: tuple) -> tuple[float, int] | None:
         """(similarity, record_id) of the likest primary, the newest of equals; None where none reaches ``least``."""
-        mine, found = frozenset(words), None
-        for other in {i for w in self._first(words) for i in self.by_word.get(w, ())}:
+        mine, found, sharing = frozenset(words), None, self._sharing(words)
+        while sharing:
+            other = self.places[(sharing & -sharing).bit_length() - 1]
+            sharing &= sharing - 1
             theirs = self.held[other][2]
+            if min(len(mine), len(theirs)) < self.least * max(len(mine), len(theirs)):
+                continue
             shared = len(mine & theirs)
             likeness = shared / (len(mine) + len(theirs) - shared) if mine or theirs else 1.0
             if likeness >= self.least and (found is None or (likeness, other) > found):
@@ -79,9 +105,9 @@ class _Near(StatefulProcessor):
         if not primaries.held:
             self.state.clear()
             return
-        self.state.put([(i, at, list(words)) for i, (at, words, _) in primaries.held.items()])
+        self.state.put([(i, at, list(words)) for i, (at, words, *_) in primaries.held.items()])
         # the first moment at which one of them has expired
-        oldest = min(pd.Timestamp(at).tz_localize(None) for at, _, _ in primaries.held.values())
+        oldest = min(pd.Timestamp(at).tz_localize(None) for at, *_ in primaries.held.values())
         self.handle.registerTimer(int((oldest + self.keep).timestamp() * 1000) + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -90,7 +116,7 @@ class _Near(StatefulProcessor):
         for r in pd.concat(list(rows)).sort_values("record_id", kind="stable").itertuples():
             if r.record_id in primaries.held:  # the same record again
                 continue
-            words = tuple(r.words)
+            words = tuple(r.words.split())
             if best := primaries.best(words):
                 found.append((key[0], r.record_id, best[1], best[0]))
                 continue
@@ -125,6 +151,8 @@ def near_duplicate_stream(records: DataFrame, at: str, least: float = NEAR, scop
     spark = records.sparkSession
     if not spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider"):
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {PROVIDER}")
-    fit = records.where((F.length("normalized") >= LEAST_NEAR) & F.col("record_id").isNotNull() & F.col(at).isNotNull()).withWatermark(at, delay)
-    fit = fit.select(F.col(scope).alias("scope"), F.col("record_id").cast("long").alias("record_id"), F.col(at).alias("at"), F.sort_array(text.tokens(F.col("normalized"))).alias("words"))
+    # a generator keeps the optimizer from working the text out again for the filter
+    told = records.select(F.col(scope).alias("scope"), "record_id", at, F.inline(F.array(F.struct("normalized"))))
+    fit = told.where((F.length("normalized") >= LEAST_NEAR) & F.col("record_id").isNotNull() & F.col(at).isNotNull()).withWatermark(at, delay)
+    fit = fit.select("scope", F.col("record_id").cast("long").alias("record_id"), F.col(at).alias("at"), F.array_join(text.tokens(F.col("normalized")), " ").alias("words"))
     return fit.groupBy("scope").transformWithStateInPandas(_Near(least, recent, keep), OUT, "Append", "EventTime")

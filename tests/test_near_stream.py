@@ -79,3 +79,38 @@ def test_the_store_is_asked_for(spark):
             near_stream.near_duplicate_stream(spark.createDataFrame([], SCHEMA), "at")
     finally:
         spark.conf.set(name, near_stream.PROVIDER)
+
+
+def test_primaries_of_common_words_are_not_compared():
+    """Words that all texts of a scope have find nobody: only the rarest of a text do."""
+
+    class Counted(dict):
+        seen = 0
+
+        def __getitem__(self, key):
+            Counted.seen += 1
+            return super().__getitem__(key)
+
+    common = [f"a{k:02}" for k in range(40)]
+    texts = [tuple(common + [f"own{n}x{k}" for k in range(60)]) for n in range(200)]
+    held = near_stream.Primaries(0.85)
+    held.held = Counted()
+    for n, words in enumerate(texts[:-1]):
+        held.add(n, None, words)
+    assert held.best(texts[-1]) is None and Counted.seen == 0
+    assert held.best(texts[7]) == (1.0, 7) and Counted.seen == 1
+
+
+def test_primaries_equal_all_comparisons():
+    rng = random.Random(3)
+    held, kept = near_stream.Primaries(0.85), {}
+    for n in range(1500):
+        words = tuple(sorted(rng.sample([f"w{k}" for k in range(14)], rng.choice((0, 1, 2, 6, 7, 12, 13)))))
+        like = lambda o: len({*words} & {*o}) / len({*words} | {*o}) if words or o else 1.0  # noqa: E731, B023
+        assert held.best(words) == max(((like(o), i) for i, o in kept.items() if like(o) >= 0.85), default=None)
+        held.add(n, None, words)
+        kept[n] = words
+        if len(kept) > 20:
+            gone = rng.choice(list(kept))
+            held.drop(gone)
+            del kept[gone]
