@@ -77,7 +77,7 @@ def src12_feed_stream(spark, sf_dir):
     last = table(spark, sf_dir, "documents").agg(F.max(F.expr(f"doc_id div {REACH}"))).first()[0] or 0
     early = F.col("snapshot") <= str(last // 2).zfill(12)
     for part in (rows.where(early), rows.where(~early)):
-        _landed(part, root)
+        feeds.land(part, root)
         feeds.collected(spark, root, out).awaitTermination()
     schema = spark.read.format("feeds").load(root).schema
     return _told(spark.read.schema(schema).parquet(f"{out}/items/*"))

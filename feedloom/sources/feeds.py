@@ -11,15 +11,16 @@ from __future__ import annotations
 import hashlib
 import io
 import posixpath
+import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
@@ -58,6 +59,28 @@ def snapshots(root: str) -> list[Stored]:
     return sorted(found, key=lambda s: (s.feed, s.snapshot, s.path))
 
 
+def land(rows: DataFrame, root: str) -> None:
+    """Stores snapshots (feed, snapshot, value: the XML), none null, under ``root``, one file each, from the tasks that have them.
+
+    A file is written under a hidden name and moved to its own, which its content gives, so readers see whole files and a
+    task that is repeated writes the same ones. The driver moves nothing, as a committer by partitions would.
+    """
+
+    def store(some: Iterator[Row]) -> None:
+        files, base = _opened(root)
+        for r in some:
+            folder = f"{base}/feed={quote(r['feed'], safe='')}/snapshot={quote(r['snapshot'], safe='')}"
+            content = r["value"].encode()
+            name = f"{hashlib.sha256(content).hexdigest()}.xml"
+            begun = f"{folder}/.{name}-{uuid.uuid4().hex}"
+            files.create_dir(folder, recursive=True)
+            with files.open_output_stream(begun) as out:
+                out.write(content)
+            files.move(begun, f"{folder}/{name}")
+
+    rows.select("feed", "snapshot", "value").foreachPartition(store)
+
+
 def _local(tag) -> str:
     return tag.rsplit("}", 1)[-1].lower() if isinstance(tag, str) else ""
 

@@ -112,3 +112,14 @@ def test_a_batch_that_failed_is_repeated_whole(spark, tmp_path):
     for crc in (out / "state" / "commits").glob(".1.crc"):
         crc.unlink()
     assert run(spark, root, out) == want == [(0, "a", "T1"), (1, "a", "T2")]
+
+
+def test_landed_snapshots_are_moved_by_the_tasks(spark, tmp_path):
+    """One whole file for each snapshot, no committer's traces; a repeated task doubles nothing."""
+    odd = "https://a.example/f?x=1&y=%2F é"
+    rows = spark.createDataFrame([(odd, "1", RSS.format(item(1, day(1)))), ("b", "0/1", RSS.format(item(2))), ("b", "2", "é")], "feed string, snapshot string, value string")
+    for _ in range(2):
+        feeds.land(rows, str(tmp_path / "r"))
+    assert [(s.feed, s.snapshot) for s in feeds.snapshots(str(tmp_path / "r"))] == [("b", "0/1"), ("b", "2"), (odd, "1")]
+    assert all(p.suffix == ".xml" for p in (tmp_path / "r").rglob("*") if p.is_file())
+    assert sorted((r["metadata"]["feed_url"], r["title"]) for r in read(spark, tmp_path / "r").collect()) == [("b", "T2"), (odd, "T1")]
