@@ -47,10 +47,6 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("feed", "snapshot").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("entry"), ""), F.lit("</channel></rss>")).alias("value"))
 
 
-def _landed(rows: DataFrame, root: str) -> None:
-    rows.write.mode("append").partitionBy("feed", "snapshot").text(root)
-
-
 def _told(items: DataFrame) -> DataFrame:
     told = F.col("metadata")
     return items.select(told["feed_url"].alias("feed_url"), told["snapshot"].alias("snapshot"), "source_url", "title", "body", F.unix_timestamp("published_at").alias("published"))
@@ -60,7 +56,7 @@ def _told(items: DataFrame) -> DataFrame:
 def src10_feed_items(spark, sf_dir):
     """The entries of all snapshots, read whole."""
     root = f"{shared_folder(spark)}/feeds-{uuid.uuid4().hex}"
-    _landed(snapshots(spark, sf_dir), root)
+    feeds.land(snapshots(spark, sf_dir), root)
     return _told(feeds.registered(spark).read.format("feeds").load(root))
 
 
