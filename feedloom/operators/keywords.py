@@ -6,6 +6,11 @@ text's score is the sum of 1 / (words in the cover) over its minimal covers, eac
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +20,8 @@ from feedloom.storage import tabled
 MOST = 40
 #: Folders that the terms are dealt over; a search of few terms opens theirs only.
 PARTS = 64
+#: Postings that a task puts together before it hands them on.
+ROWS = 50_000
 SCALE = 1_000_000_000
 POSTINGS = "term string, record_id long, places array<int>, part int"
 
@@ -34,25 +41,45 @@ def postings(records: DataFrame, parts: int = PARTS) -> DataFrame:
     A text is taken apart in the task that reads it: its words aren't shuffled. Rows without an id are left out; of rows that
     share one, each is a text of its own, so give each record once.
     """
-    listed = F.array_sort(F.transform(words(F.col("text")), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    # generators keep the optimizer from working the sorted list out again for each element
-    once = lambda value, name: F.inline(F.array(F.struct(value.alias(name))))
-    df = records.where("record_id is not null").select("record_id", once(listed, "l")).where(F.size("l") > 0)
-    begins = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: (i == 0) | (F.col("l")[i]["w"] != F.get("l", i - 1)["w"]))
-    df = df.select("record_id", "l", once(begins, "begins"))
-    until = lambda k: F.coalesce(F.get("begins", k + 1), F.size("l"))
-    runs = F.transform("begins", lambda b, k: F.struct(F.col("l")[b]["w"].alias("term"), F.transform(F.slice("l", b + 1, until(k) - b), lambda x: x["i"]).alias("places")))
-    return df.select("record_id", F.inline(runs)).select("term", "record_id", "places", _part(F.col("term"), parts).alias("part"))
+    told = records.where("record_id is not null").select(F.col("record_id").cast("long").alias("record_id"), F.array_join(words(F.col("text")), " ").alias("words"))
+    return told.mapInArrow(_placed, "term string, record_id long, places array<int>").select("term", "record_id", "places", _part(F.col("term"), parts).alias("part"))
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, record_id, places) of (record_id, words: put together by spaces), in batches of about ROWS rows."""
+    terms, ids, counts, places = [], [], [], []
+
+    def told() -> pa.RecordBatch:
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.record_batch([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(places, pa.int32()))], ["term", "record_id", "places"])
+
+    for batch in batches:
+        for record_id, line in zip(batch["record_id"].to_pylist(), batch["words"]):
+            found = {}
+            for i, w in enumerate(line.as_py().split()):
+                if w in found:
+                    found[w].append(i)
+                else:
+                    found[w] = [i]
+            terms += found
+            ids += [record_id] * len(found)
+            counts += map(len, found.values())
+            places += chain.from_iterable(found.values())
+            if len(terms) >= ROWS:
+                yield told()
+                terms, ids, counts, places = [], [], [], []
+    if terms:
+        yield told()
 
 
 def write(records: DataFrame, path: str, parts: int = PARTS, splits: int = 8) -> None:
-    """Adds the records' postings to those stored under ``path``; a part's rows are dealt over ``splits`` tasks by their text, fewer where the planner merges small ones, and sorted by term.
+    """Adds the records' postings to those stored under ``path``; a part's rows are dealt over ``splits`` tasks by their text, fewer where the planner merges small ones.
 
     More records are added by writing them; the ones that are there stay as they are. One shuffle, whose
     largest piece is a split of a part: a word that every text has is one row for each text and goes to all splits of its part.
     """
     split = F.pmod(F.xxhash64("record_id"), F.lit(splits))
-    dealt = postings(records, parts).repartition("part", split).sortWithinPartitions("part", "term", "record_id")
+    dealt = postings(records, parts).repartition("part", split).sortWithinPartitions("part")
     dealt.write.mode("append").partitionBy("part").parquet(path, compression="zstd")
 
 
@@ -94,7 +121,8 @@ def search(stock: DataFrame, questions: DataFrame, most: int = MOST, parts: int
     asked = questions.where("question_id is not null").select("question_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     asked = tabled(asked.distinct().withColumn("part", _part(F.col("term"), parts)))
     opened = [r["part"] for r in asked.select("part").distinct().collect()]  # as many as there are parts, at most
-    mine = stock.where(F.col("part").isin(opened)).join(asked.select("term", "part").distinct(), ["part", "term"], "left_semi")
+    # the asked words' postings are read thrice below, all others once
+    mine = tabled(stock.where(F.col("part").isin(opened)).join(asked.select("term", "part").distinct(), ["part", "term"], "left_semi"))
     counts = mine.groupBy("term").agg(F.count("*").alias("texts"))
     by_question = Window.partitionBy("question_id").orderBy(F.coalesce("texts", F.lit(0)), "term")
     numbered = asked.join(counts, "term", "left").withColumn("n", F.row_number().over(by_question) - 1)

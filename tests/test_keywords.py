@@ -79,3 +79,11 @@ def test_a_search_reads_postings_of_its_terms_parts_only(spark, tmp_path):
             file.unlink()
     again = keywords.search(keywords.read(spark, str(tmp_path / "p")), spark.createDataFrame([(1, "w250")], QUESTIONS), parts=4)
     assert [tuple(r) for r in again.collect()] == [(1, 1, 250, 1.0)]
+
+
+def test_the_stock_is_not_read_again_for_each_join(spark, tmp_path):
+    """What the asked words have is put aside once: the search's joins read that and not all postings."""
+    found = stock(spark, tmp_path / "p", [(i, f"w{i} shared") for i in range(20)])
+    got = keywords.search(found, spark.createDataFrame([(1, "w7 shared")], QUESTIONS), parts=4)
+    assert not [f for f in got.inputFiles() if str(tmp_path / "p") in f]
+    assert [tuple(r) for r in got.collect()] == [(1, 1, 7, 0.5)]
