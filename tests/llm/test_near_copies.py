@@ -102,3 +102,43 @@ def test_tiles_of_all_sizes_meet(spark, monkeypatch):
     like = [(a, b) for a in range(len(sets)) for b in range(a) if a % 2 == b % 2 and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
     ids = range(len(sets))
     assert len(like) > 20 and brute.components(ids, [(r["a"], r["b"]) for r in got]) == brute.components(ids, like)
+
+
+@pytest.mark.parametrize("bits", [16, 21])
+@pytest.mark.parametrize("common,one,two", [(4, 0, 1), (8, 1, 1), (8, 0, 2), (12, 0, 2), (12, 0, 3), (24, 3, 3), (240, 30, 30)])
+def test_simhash_alone_proposes_near_copies(bits, common, one, two):
+    """Sets of similarity 0.8, or just above it, share a bucket of SimHash fingerprints and pass its filter."""
+    rng = np.random.default_rng(13)
+    tables = near_copies.TABLES[bits - near_copies.FEWEST_BITS]
+    missed = 0
+    for _ in range(500):
+        x = rng.integers(0, 1 << 64, common + one + two, dtype=np.uint64)
+        found = [np.unique(x[: common + one]), np.unique(np.append(x[:common], x[common + one :]))]
+        (sim, keys), (sim_two, keys_two) = (near_copies.probes(f, bits, tables) for f in found)
+        every = [np.stack([k[:, 0], *(k[:, 0] ^ k[:, i] for i in (1, 2, 3))], 1) for k in (keys, keys_two)]
+        probed = min(map(len, found)) > near_copies.BARE and (every[0][:, :, None] == every[1][:, None, :]).any() and (sim ^ sim_two).bit_count() <= near_copies.NEAR
+        missed += not (probed or len(np.intersect1d(*map(near_copies.partial, found))))
+    assert missed <= (0 if common + one + two <= near_copies.SHORT else 3)
+
+
+def test_short_texts_and_what_chance_brings_into_their_buckets(spark):
+    """Texts of 8 to 18 words that lose or get a word at an end, and a group of copies with others in its buckets."""
+    rng = np.random.default_rng(14)
+    rows = []
+    for n in range(150):
+        words = [f"w{rng.integers(1 << 40)}" for _ in range(8 + n % 11)]
+        rows += [(10 * n + k, " ".join(words[k:] if k < 2 else words[:-1] if k == 2 else [*words, "more"])) for k in range(4)]
+    common = [f"c{rng.integers(1 << 40)}" for _ in range(120)]
+    rows += [(2_000 + n, edited(rng, common, 1)) for n in range(60)] + [(3_000 + n, edited(rng, common, 8)) for n in range(6)]
+    assert left(spark, rows) == roots(rows)
+
+
+def test_buckets_over_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BATCH", 7)
+    rows = [(key, 100 * key + n, 0) for key, size in ((1, 2), (2, 40), (3, 1), (4, 16), (5, 17), (6, 3)) for n in range(size)]
+    got = near_copies.met(spark.createDataFrame(rows, "key long, fp long, sim long")).collect()
+    assert sorted(r["a"] for r in got if r["b"] is None) == sorted(fp for key, fp, _ in rows if key in (2, 5))
+    pairs = {(r["a"], r["b"]) for r in got if r["b"] is not None}
+    assert all(a < b and a // 100 == b // 100 == key for a, b, key in ((r["a"], r["b"], r["key"]) for r in got if r["b"] is not None))
+    sizes = {key: sum(a // 100 == key for a, _ in pairs) for key in range(1, 7)}
+    assert sizes == {1: 1, 2: 39 + 38, 3: 0, 4: 120, 5: 16 + 15, 6: 3}
