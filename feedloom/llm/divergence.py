@@ -11,32 +11,40 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedloom.llm.shared import mapped, slices, written
+from feedloom.llm.shared import ROWS, batches_of, slices, written
 from feedloom.llm.terms import alphabet, pieces
 
 #: Documents of a language that a kept term stands in, at least; ranks of terms that are told.
 FEWEST, RANKS = 10, 10
 #: Different terms of sources that a task counts before it hands them on.
-HELD = 1 << 18
+HELD = 1 << 19
 LETTERS = alphabet(digits=False)
 
 
 def partial_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of a term, as far as a task has counted before handing them on."""
 
-    def rows(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pd.DataFrame]:
+    def strings(found: list[bytes]) -> pa.Array:
+        try:
+            return pa.array(found, pa.binary()).cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that aren't UTF-8
+            return pa.array([t.decode("utf-8", "replace") for t in found], pa.string())
+
+    def rows(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, d) in ((k, v) for k, v in held.items() if v[0]):
-            yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode("utf-8", "replace") for t in n], "n": list(n.values()), "docs": [d[t] for t in n]})
+            group = [pa.repeat(pa.scalar(x, pa.string()), len(n)) for x in (lang, source)]
+            counts = [pa.array(list(x), pa.int64()) for x in (n.values(), map(d.__getitem__, n))]
+            yield pa.RecordBatch.from_arrays([*group, strings(list(n)), *counts], ["lang", "source", "term", "n", "docs"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         size = 0
-        for part in slices(batches, "text"):
+        for part in slices((b.to_pandas() for b in batches), "text"):
             for lang, source, text in zip(part["lang"], part["source"], part["text"]):
                 n, d = held.setdefault((lang, source), (Counter(), Counter()))
                 size -= len(n)
@@ -52,7 +60,7 @@ def partial_counts(docs: DataFrame) -> DataFrame:
         yield from rows(held)
 
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return mapped(docs.select("lang", "source", text.alias("text")), run, "lang string, source string, term string, n long, docs long")
+    return docs.select("lang", "source", text.alias("text")).mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
 def share(count: str, total: str, kept: str) -> Column:
@@ -75,7 +83,8 @@ def audited(documents: DataFrame, fewest: int = FEWEST, ranks: int = RANKS) -> D
     Other columns are ignored. The pairs are as many as the contract's result: each two sources of a language.
     """
     docs = documents.select("text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
-    counted = written(partial_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    with batches_of(docs.sparkSession, ROWS):
+        counted = written(partial_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     terms = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("whole")).where(F.col("docs") >= fewest)
     postings = written(counted.join(terms.select("lang", "term", "whole"), ["lang", "term"]).select("lang", "term", "source", "n", "whole"))
 

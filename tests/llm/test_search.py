@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from feedloom.llm import divergence, lexical_search, terms, vector_search
 
@@ -73,6 +74,18 @@ def test_audit(spark, monkeypatch, held):
     assert {r[2] for r in got} == {"pair", "term"}
 
 
+def test_a_task_hands_its_counts_on_as_few_rows(spark):
+    """Over half of 2^18 different terms twice: one row a term and source, also of bytes that aren't UTF-8."""
+    words = [f"w{'abcdefghij'[n % 10]}{n:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for n in range(140_000)]
+    rows = [(n, " ".join(words), "en", f"s{n % 2}") for n in range(4)]
+    docs = frame(spark, rows).select("text", "lang", "source").coalesce(1)
+    got = divergence.partial_counts(docs).groupBy("source").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum("docs").alias("docs")).collect()
+    terms_of = len(set(words))
+    assert sorted(map(tuple, got)) == [(s, terms_of, 2 * len(words), 2 * terms_of) for s in ("s0", "s1")]
+    broken = spark.sql("select cast(X'616220FF6320FF63' as string) as text, 'en' as lang, 's' as source")
+    assert sorted((r["term"], r["n"]) for r in divergence.partial_counts(broken).collect()) == [("ab", 1), ("\ufffdc", 2)]
+
+
 def test_audit_of_nothing(spark):
     assert divergence.audited(frame(spark, ODD[:0])).count() == 0
     alone = divergence.audited(frame(spark, [(1, "a b", "en", "s"), (2, None, "en", "t")])).collect()
