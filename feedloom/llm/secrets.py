@@ -54,8 +54,9 @@ def _upper(z: Column) -> Column:
     return F.greatest(F.when(z >= 0, tail).otherwise(1 - tail), F.lit(1e-12))
 
 
-def _two_sided(z: Column) -> Column:
-    return F.least(2 * _upper(F.abs(z)), F.lit(1.0))
+def _two_sided(tail: Column) -> Column:
+    """The p-value of a deviation by the tail beyond its size; none counts as the least."""
+    return F.when(tail.isNull(), F.lit(1e-12)).otherwise(F.least(2 * tail, F.lit(1.0)))
 
 
 def _tested(token: Column) -> Column:
@@ -63,7 +64,7 @@ def _tested(token: Column) -> Column:
     bare = F.rtrim(token["t"], F.lit("="))
     encoding = F.when(bare.rlike("^[0-9a-f]+$"), 0).when(bare.rlike("^[0-9A-F]+$"), 1).when(bare.rlike("^[A-Z2-7]+$"), 2).otherwise(3)
     marks = F.array(*map(F.lit, ALPHABETS))
-    # one struct after another through one-element transforms, so that each value is worked out once
+    # one struct after another through one-element transforms, so that each value is worked out once and stands once in the plan that the driver holds
     first = F.array(F.struct(token["s"].alias("s"), token["e"].alias("e"), F.translate(bare, "-_", "+/").alias("t"), encoding.alias("k")))
 
     def symbols(x: Column) -> Column:
@@ -86,20 +87,30 @@ def _tested(token: Column) -> Column:
         serial = F.aggregate(F.zip_with(F.slice(x["v"], 1, last), F.slice(x["v"], 2, last), lambda a, b: (a - x["m"]) * (b - x["m"])), F.lit(0.0), lambda total, c: total + c)
         return F.struct(*(x[c].alias(c) for c in "sekna"), (x["q"] * x["a"] / x["n"] - x["n"]).alias("chi"), ups.alias("u"), runs.alias("r"), spread.alias("d"), serial.alias("c"))
 
-    def judged(x: Column) -> Column:
+    def deviations(x: Column) -> Column:
         n, a = x["n"], x["a"]
-        uniform = _upper((x["chi"] - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n))
+        uniform = (x["chi"] - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
         expected = 2 * x["u"] * (n - x["u"]) / n + 1
         deviation = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
-        runs = F.when((x["u"] == 0) | (x["u"] == n), F.lit(1e-12)).otherwise(_two_sided((x["r"] - expected) / deviation))
-        serial = F.when(x["d"] <= 0, F.lit(1e-12)).otherwise(_two_sided((x["c"] / x["d"] + 1 / n) * F.sqrt(n)))
-        half = -(F.ln(uniform) + F.ln(runs) + F.ln(serial))  # Fisher: half of a chi-squared statistic with 6 degrees
+        runs = F.when((x["u"] != 0) & (x["u"] != n), (x["r"] - expected) / deviation)
+        serial = F.when(x["d"] > 0, (x["c"] / x["d"] + 1 / n) * F.sqrt(n))
+        return F.struct(*(x[c].alias(c) for c in "sekn"), F.array(uniform, F.abs(runs), F.abs(serial)).alias("z"))
+
+    def tails(x: Column) -> Column:
+        return F.struct(*(x[c].alias(c) for c in "sekn"), F.transform(x["z"], lambda z: F.when(z.isNotNull(), _upper(z))).alias("p"))
+
+    def combined(x: Column) -> Column:
+        half = -(F.ln(x["p"][0]) + F.ln(_two_sided(x["p"][1])) + F.ln(_two_sided(x["p"][2])))  # Fisher: half of a chi-squared statistic with 6 degrees
+        return F.struct(*(x[c].alias(c) for c in "sekn"), half.alias("half"))
+
+    def judged(x: Column) -> Column:
+        half = x["half"]
         p = F.exp(-half) * (1 + half + half * half / 2)
-        band = x["k"] * 100 + F.floor(2 * F.log2(n)).cast("int")
+        band = x["k"] * 100 + F.floor(2 * F.log2(x["n"])).cast("int")
         level = F.floor(-F.log10(F.greatest(p, F.lit(1e-12))) * CLASSES).cast("int")
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), band.alias("band"), level.alias("level"))
 
-    for step in (symbols, sums, statistics, judged):
+    for step in (symbols, sums, statistics, deviations, tails, combined, judged):
         first = F.transform(first, step)
     return first[0]
 
