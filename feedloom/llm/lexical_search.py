@@ -26,7 +26,9 @@ from feedloom.llm.shared import batches_of, mapped, slices, written
 from feedloom.llm.terms import alphabet, pieces
 
 #: Documents, and about how many terms with repeats, that a range has at most; a longer document is a range of its own.
-RANGE_DOCS, RANGE_TERMS = 4_096, 1 << 21
+RANGE_DOCS, RANGE_TERMS = 4_096, 1 << 19
+#: Readers and writers of Parquet hold a row group whole. By default its size is first looked at after 100 rows, which are 100 ranges here.
+ROW_GROUPS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8}
 #: Children of a node.
 FAN = 16
 #: Characters of the questions that are searched for together, about.
@@ -34,9 +36,11 @@ BLOCK = 1 << 22
 #: Trees that a task keeps for the next questions of a range.
 TREES = 1_024
 #: Ranges of a batch that a task holds at once; a range is large.
-BATCH = 8
+BATCH = 4
 WORDS = alphabet(digits=True)
-INDEX = "ids array<long>, lengths array<long>, filled long, tokens long, terms array<string>, first array<int>, docs array<int>, tfs array<long>"
+#: Lists are bytes: ids and lengths of 8 each, terms joined by blanks, first of 8 each, docs of 2 each, tfs of as many each as the largest needs.
+INDEX = "ids binary, lengths binary, filled long, tokens long, terms binary, first binary, docs binary, tfs binary"
+INDEX_COLUMNS = [c.split()[0] for c in INDEX.split(", ")]
 #: Stands for a null doc_id, which comes first among equals.
 NO_ID = -(1 << 63)
 
@@ -47,9 +51,11 @@ def indexed(documents: DataFrame) -> DataFrame:
     def row(ids: list, lengths: list, vocabulary: dict[bytes, int], terms: list, docs: list, tfs: list) -> pd.DataFrame:
         by = np.concatenate(terms) if terms else np.empty(0, np.int64)
         order = np.argsort(by, kind="stable")
-        first = np.concatenate([[0], np.cumsum(np.bincount(by, minlength=len(vocabulary)))]).astype(np.int32)
-        pick = lambda parts, kind: (np.concatenate(parts) if parts else np.empty(0))[order].astype(kind)
-        return pd.DataFrame({"ids": [ids], "lengths": [lengths], "filled": sum(n > 0 for n in lengths), "tokens": sum(lengths), "terms": [[t.decode("utf-8", "replace") for t in vocabulary]], "first": [first], "docs": [pick(docs, np.int32)], "tfs": [pick(tfs, np.int64)]})
+        first = np.concatenate([[0], np.cumsum(np.bincount(by, minlength=len(vocabulary)))]).astype(np.int64)
+        pick = lambda parts: (np.concatenate(parts) if parts else np.empty(0, np.int64))[order]
+        tf = pick(tfs)
+        packed = {"ids": np.array(ids, np.int64), "lengths": np.array(lengths, np.int64), "first": first, "docs": pick(docs).astype(np.uint16), "tfs": tf.astype(np.min_scalar_type(tf.max(initial=0)))}
+        return pd.DataFrame({"filled": [sum(n > 0 for n in lengths)], "tokens": [sum(lengths)], "terms": [b" ".join(vocabulary)]} | {k: [x.tobytes()] for k, x in packed.items()})[INDEX_COLUMNS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fresh = lambda: ([], [], {}, [], [], [])
@@ -61,8 +67,8 @@ def indexed(documents: DataFrame) -> DataFrame:
                 for words in pieces(text, WORDS):
                     counts.update(words)
                 own = [vocabulary.setdefault(w, len(vocabulary)) for w in counts]
-                terms.append(np.array(own, np.int64))
-                docs.append(np.full(len(own), len(ids), np.int64))
+                terms.append(np.array(own, np.int32))
+                docs.append(np.full(len(own), len(ids), np.int32))
                 tfs.append(np.fromiter(counts.values(), np.int64, len(own)))
                 ids.append(int(doc_id))
                 lengths.append(counts.total())
@@ -77,6 +83,24 @@ def indexed(documents: DataFrame) -> DataFrame:
     return mapped(documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text), run, INDEX)
 
 
+def stored(documents: DataFrame) -> DataFrame:
+    """The index as a table, of which a task holds a few ranges at once, however many it reads or writes."""
+    return written(indexed(documents), **ROW_GROUPS)
+
+
+def names(terms: bytes) -> list[str]:
+    """The terms of a row of the index."""
+    return terms.decode("utf-8", "replace").split(" ") if terms else []
+
+
+def unpacked(row: pd.Series) -> dict:
+    """A row of the index with lists in place of bytes."""
+    docs = np.frombuffer(row["docs"], np.uint16)
+    wide = len(row["tfs"]) // max(1, len(docs)) or 1
+    longs = {c: np.frombuffer(row[c], np.int64) for c in ("ids", "lengths", "first")}
+    return longs | {"terms": names(row["terms"]), "docs": docs, "tfs": np.frombuffer(row["tfs"], f"u{wide}")}
+
+
 @dataclass
 class Question:
     """An item's id and its terms with their repeats."""
@@ -103,8 +127,8 @@ def document_frequencies(index: DataFrame, terms: set[str]) -> dict[str, int]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for batch in batches:
-            for names, first in zip(batch["terms"], batch["first"]):
-                counts.update({t: int(n) for t, n in zip(names, np.diff(first)) if t in asked.value})
+            for terms, first in zip(batch["terms"], batch["first"]):
+                counts.update({t: int(n) for t, n in zip(names(terms), np.diff(np.frombuffer(first, np.int64))) if t in asked.value})
         if counts:
             yield pd.DataFrame({"term": list(counts), "df": list(counts.values())})
 
@@ -115,7 +139,7 @@ def document_frequencies(index: DataFrame, terms: set[str]) -> dict[str, int]:
 class Range:
     """A range's postings of the asked terms, with their trees of maxima; ``weights``: each asked term's w."""
 
-    def __init__(self, row: pd.Series, weights: dict[str, int], filled: int, tokens: int):
+    def __init__(self, row: dict, weights: dict[str, int], filled: int, tokens: int):
         self.ids, self.weights = np.asarray(row["ids"], np.int64), weights
         self.m = np.array([75 + (25 * int(n) * filled) // tokens for n in row["lengths"]], np.int64)
         first = row["first"]
@@ -180,7 +204,7 @@ def _searched(index: DataFrame, block: list[Question], filled: int, tokens: int,
         best: list[list[tuple[int, int]]] = [[] for _ in asked]
         for batch in batches:
             for _, row in batch.iterrows():
-                part = Range(row, w, filled, tokens)
+                part = Range(unpacked(row), w, filled, tokens)
                 for n, q in enumerate(asked):
                     # what the task found in earlier ranges bounds what can still count
                     floor = best[n][-1][0] if len(best[n]) == most else 1
@@ -201,7 +225,7 @@ def searched(documents: DataFrame, items: DataFrame, most: int = 20) -> DataFram
     documents of their own. Items without terms have no rows; of several texts of one item_id the least counts; a null
     item_id is an item too. Without documents, without terms in them or without items there are no rows. Other columns are ignored.
     """
-    index = written(indexed(documents))
+    index = stored(documents)
     filled, tokens = index.agg(F.sum("filled"), F.sum("tokens")).first()
     if not tokens:
         return index.select(F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score")).limit(0)

@@ -23,10 +23,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return stored(df)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a compressed table in the shared folder, read again: the lineage is cut, in fewer bytes than a checkpoint has."""
+def written(df: DataFrame, **options) -> DataFrame:
+    """df as a compressed table in the shared folder, read again: the lineage is cut, in fewer bytes than a checkpoint has. options: the writer's."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
+    df.write.options(**options).parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

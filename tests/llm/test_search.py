@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,19 @@ def test_bounds_spare_nodes():
     assert every[0][1] == 0 and opened == 1 + 4 + 63  # all are equal, so all are opened for the least id
 
 
+def test_an_index_of_many_ranges_is_read_by_small_row_groups(spark, monkeypatch):
+    """What a reader or writer holds at once doesn't follow the ranges of a task."""
+    monkeypatch.setattr(lexical_search, "RANGE_DOCS", 1)
+    rng = np.random.default_rng(4)
+    rows = [(n, " ".join(f"w{x:x}" for x in rng.integers(0, 1 << 60, 20_000)) + " twice" * (300 * (n % 3)), "en", "s") for n in range(60)]
+    index = lexical_search.stored(frame(spark, rows).coalesce(1))
+    groups = [(m.row_group(k).num_rows, m.row_group(k).total_byte_size) for f in index.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for k in range(m.num_row_groups)]
+    assert sum(n for n, _ in groups) == 60 and len(groups) > 1 and max(size for _, size in groups) < 16 << 20
+    items = spark.createDataFrame([(1, "twice")], "item_id long, text string")
+    got = lexical_search.searched(frame(spark, rows), items, most=50).select("item_id", "rank", "doc_id", "score").collect()
+    assert sorted(map(tuple, got), key=repr) == plain_search(rows, [(1, "twice")], 50)
+
+
 def test_long_texts_are_cut_between_terms(monkeypatch):
     table = terms.alphabet(digits=True)
     text = ("Ab1 " * 50 + "ç" * 40 + " end").encode()
