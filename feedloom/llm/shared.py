@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.storage import shared_folder, spread, stored
+from feedloom.storage import batches_of, shared_folder, spread, stored  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,18 +41,6 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, what runs hands Python workers batches of ``rows`` rows at most; the session's own setting holds again after it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def slices(batches: Iterator[pd.DataFrame], column: str, most: int = 8_000_000) -> Iterator[pd.DataFrame]:
     """The batches cut so that the texts (or bytes) of a slice stay near ``most`` characters; a longer row stands alone."""
     for batch in batches:
