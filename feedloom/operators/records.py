@@ -16,8 +16,10 @@ from feedloom.functions import privacy, text
 from feedloom.storage import tabled
 
 LEAST_NEAR, NEAR = 20, 0.85
-#: Buckets that words are counted in for their order, and sets that a task takes at once.
-BUCKETS, ROWS = 1 << 18, 2_048
+#: Buckets that words are counted in, and sets that a task takes at once.
+BUCKETS, ROWS = 1 << 20, 2_048
+#: Parts that are cut beyond those needed, as a share of these: the commonest so many are left out.
+SPARE = 0.25
 #: Bits that tell how much two sets differ at least, those of sets of so many words or more, and the longs of the first.
 BITS, WIDER, WIDE = 256, 1_024, 640
 LONGS = BITS // 64
@@ -75,62 +77,105 @@ def token_classes(records: DataFrame) -> DataFrame:
     return sets.groupBy("scope", "words").agg(F.min("record_id").alias("class_id"), F.count("*").alias("members"))
 
 
-def _prefixes(classes: DataFrame, least: float) -> DataFrame:
-    """(scope, class_id, n, key, at, bits..): hashes of each set's first words from the rarest on, as many as a set as like as ``least`` must share one of, with their places.
+def _levels(largest: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes up to which the levels go, and by how many words two sets of a level can differ. A set as like as ``least`` to one of a level is of this level or the next one."""
+    tops = [0, 1]
+    while tops[-1] < largest or len(tops) < 3:
+        tops.append(max(tops[-1] + 1, math.floor(tops[-1] / least + CLOSE)))
+    top = np.array([*tops, max(tops[-1] + 1, math.floor(tops[-1] / least + CLOSE))])
+    return top[:-1], np.floor((1 - least) / (1 + least) * (top[:-1] + np.minimum(top[1:], top[:-1] / least)) + CLOSE).astype(np.int64)
 
-    Any one order of words serves: here by how often a word's bucket occurs, then by its hash, so that no word
-    leaves its set to be counted. bits: of each part of the hashes whether the set has an odd number, in longs; a set of WIDE
-    words or more has WIDER bits, which fold to those of a smaller one, whose other longs are zero.
+
+def _parts(classes: DataFrame, least: float) -> DataFrame:
+    """(scope, class_id, top, key): hashes of parts of each set, of which two sets as like as ``least`` share one.
+
+    Sets of neighbouring sizes, a level, are cut by the words' hashes into the same parts, more than the words by which two of them can differ; so some parts are equal. There are
+    SPARE more than that needs, and each set leaves out as many, those of the commonest words: of all parts that two sets share
+    they order each alike, so the rarest is left out by neither. A part is several words, so chance makes few equal. A set is in its own level (``top``)
+    and the one below. Words are counted in buckets, and a part that has a word of no other set is left out, too.
     """
     words = F.transform("words", lambda w: F.xxhash64(w))
     known = classes.select(F.explode(words).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).agg(F.count("*").alias("n")).toArrow()  # BUCKETS rows at most
-    counts = np.zeros(BUCKETS, np.int64)
+    counts = np.zeros(BUCKETS, np.int32)
     counts[known["bucket"].to_numpy()] = known["n"].to_numpy()
-    shared = classes.sparkSession.sparkContext.broadcast(counts)
+    largest = classes.agg(F.max(F.size("words"))).first()[0] or 0
+    shared = classes.sparkSession.sparkContext.broadcast((counts, *_levels(largest, least)))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often, tops, differ = shared.value
+        mixed = lambda x: (x ^ x >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                sizes = part["h"].str.len().to_numpy(np.int64)
+                h, row = np.concatenate(part["h"].to_list()).view(np.uint64), np.repeat(np.arange(len(part)), sizes)
+                count = often[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                rare = np.rint(1_000 * np.log(2**32 / count)).astype(np.int64)
+                for lower in (0, 1):
+                    level = np.searchsorted(tops, sizes) - lower
+                    need = np.where(level > 0, differ[level] + 1, 0)
+                    many = need + np.floor(need * SPARE).astype(np.int64)
+                    start = np.cumsum(many) - many
+                    own = many[row] > 0
+                    r, x = row[own], h[own]
+                    place = start[r] + (mixed(x) >> np.uint64(32)).astype(np.int64) % many[r]
+                    order, total = np.argsort(place, kind="stable"), int(many.sum())
+                    ends = np.searchsorted(place[order], np.arange(total + 1))
+                    summed = np.concatenate([[np.uint64(0)], np.cumsum(mixed(x ^ x >> np.uint64(32))[order], dtype=np.uint64)])
+                    of, number = np.repeat(np.arange(len(part)), many), np.arange(total) - np.repeat(start, many)
+                    worth = np.bincount(place, rare[own], total).astype(np.int64)
+                    alone = np.bincount(place, count[own] == 1, total) > 0
+                    order = np.lexsort((number, -worth, of))
+                    kept = order[(np.arange(total) - start[of[order]] < need[of[order]]) & ~alone[order]]
+                    key = mixed(summed[ends[1:]] - summed[ends[:-1]]) ^ mixed((level[of] << 32 | number).astype(np.uint64))
+                    yield pd.DataFrame({"scope": part["scope"].to_numpy()[of[kept]], "class_id": part["class_id"].to_numpy()[of[kept]], "top": np.full(len(kept), lower == 0), "key": key[kept].view(np.int64)})
+
+    sets = classes.where(F.size("words") > 0).select("scope", "class_id", words.alias("h"))
+    return sets.mapInPandas(cut, f"scope {classes.schema['scope'].dataType.simpleString()}, class_id long, top boolean, key long")
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _bits(classes: DataFrame) -> DataFrame:
+    """(scope, class_id, n, bits..): of each part of the words' hashes whether the set has an odd number, in longs; a set of WIDE words or more has WIDER bits, which fold to those of a smaller one, whose other longs are zero."""
+
+    def odd(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.iloc[at : at + ROWS]
                 sizes = part["h"].str.len().to_numpy(np.int64)
                 h, row = np.concatenate(part["h"].to_list()), np.repeat(np.arange(len(part)), sizes)
-                odd = (np.bincount(row * WIDER + (h >> 32 & WIDER - 1), minlength=len(part) * WIDER) & 1).astype(np.uint8)
-                bits = np.packbits(odd.reshape(-1, WIDER), axis=1).view(np.int64)
+                single = (np.bincount(row * WIDER + (h >> 32 & WIDER - 1), minlength=len(part) * WIDER) & 1).astype(np.uint8)
+                bits = np.packbits(single.reshape(-1, WIDER), axis=1).view(np.int64)
                 few = sizes < WIDE
                 bits[few, :LONGS] = np.bitwise_xor.reduce(bits[few].reshape(-1, WIDER // BITS, LONGS), axis=1)
                 bits[few, LONGS:] = 0
-                often = shared.value[h & BUCKETS - 1]
-                order = np.lexsort((h, often, row))
-                h, often, place = h[order], often[order], np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                # what no other set has can't be shared
-                kept = (place < (sizes - np.ceil(sizes * least - CLOSE).astype(np.int64) + 1)[row]) & (often > 1)
-                row = row[kept]
-                out = {"scope": part["scope"].to_numpy()[row], "class_id": part["class_id"].to_numpy()[row], "n": sizes[row], "key": h[kept], "at": place[kept]}
-                yield pd.DataFrame(out | {f"bits{i}": bits[row, i] for i in range(WIDER // 64)})
+                yield pd.DataFrame({"scope": part["scope"].to_numpy(), "class_id": part["class_id"].to_numpy(), "n": sizes} | {f"bits{i}": bits[:, i] for i in range(WIDER // 64)})
 
     longs = ", ".join(f"bits{i} long" for i in range(WIDER // 64))
-    sets = classes.where(F.size("words") > 0).select("scope", "class_id", words.alias("h"))
-    return sets.mapInPandas(first, f"scope {classes.schema['scope'].dataType.simpleString()}, class_id long, n int, key long, at int, {longs}")
+    sets = classes.where(F.size("words") > 0).select("scope", "class_id", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    return sets.mapInPandas(odd, f"scope {classes.schema['scope'].dataType.simpleString()}, class_id long, n int, {longs}")
 
 
 def similar_classes(classes: DataFrame, least: float = NEAR) -> DataFrame:
     """(scope, a, b, similarity), a < b: pairs of different token sets of one scope whose Jaccard likeness reaches ``least``.
 
-    Prefix filtering: in an order from the rarest word on, two sets as like as that must share one
-    among their first size - ceil(least * size) + 1. In the join itself sizes and places are tested, and by
-    their bits how much two sets differ at least; only what passes meets the whole sets. ``classes`` is
+    Sets are cut into parts of which two as like as that share one. What shares a part is tested by sizes and, by their
+    bits, by how much two sets differ at least; only what passes meets the whole sets. ``classes`` is
     read several times, so give a stored table.
     """
-    keyed = _prefixes(classes, least)
+    keyed = _parts(classes, least)
     a, b = keyed.alias("a"), keyed.alias("b")
-    most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    need = F.ceil(least / (1 + least) * (F.col("a.n") + F.col("b.n")) - CLOSE)
-    unlike = [F.col(f"a.bits{i}").bitwiseXOR(F.col(f"b.bits{i}")) for i in range(WIDER // 64)]
+    shared = a.join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.class_id") < F.col("b.class_id")) & (F.col("a.top") | F.col("b.top")))
+    shared = shared.select("a.scope", F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct()
+    bits = _bits(classes)
+    of = lambda c: bits.select("scope", F.col("class_id").alias(c), F.struct(*[x for x in bits.columns if x not in ("scope", "class_id")]).alias(f"of_{c}"))
+    both = shared.join(of("a"), ["scope", "a"]).join(of("b"), ["scope", "b"])
+    size, other = F.col("of_a.n"), F.col("of_b.n")
+    unlike = [F.col(f"of_a.bits{i}").bitwiseXOR(F.col(f"of_b.bits{i}")) for i in range(WIDER // 64)]
     differ = reduce(add, map(F.bit_count, unlike)), reduce(add, (F.bit_count(reduce(Column.bitwiseXOR, unlike[i::LONGS])) for i in range(LONGS)))
-    differ = F.when(F.least("a.n", "b.n") >= WIDE, differ[0]).otherwise(differ[1])
-    fits = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - CLOSE) & (most >= need - F.least("a.at", "b.at")) & (differ <= F.col("a.n") + F.col("b.n") - 2 * need)
-    pairs = a.join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.class_id") < F.col("b.class_id")) & fits)
-    pairs = tabled(pairs.select("a.scope", F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct())
+    differ = F.when(F.least(size, other) >= WIDE, differ[0]).otherwise(differ[1])
+    need = F.ceil(least / (1 + least) * (size + other) - CLOSE)
+    fits = (F.least(size, other) >= F.greatest(size, other) * least - CLOSE) & (differ <= size + other - 2 * need)
+    pairs = tabled(both.where(fits).select("scope", "a", "b"))
     met = pairs.select("scope", F.explode(F.array("a", "b")).alias("class_id")).distinct()
     sets = classes.select("scope", "class_id", "words").join(met, ["scope", "class_id"], "left_semi")
     whole = pairs.join(sets.select("scope", F.col("class_id").alias("a"), F.col("words").alias("x")), ["scope", "a"]).join(sets.select("scope", F.col("class_id").alias("b"), F.col("words").alias("y")), ["scope", "b"])

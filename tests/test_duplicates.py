@@ -68,3 +68,21 @@ def test_like_sets_of_any_size_are_found_and_unlike_ones_dont_meet(spark, monkey
     got = {(r["a"], r["b"]) for r in rec.similar_classes(classes).collect()}
     assert got == want and len(want) > 150
     assert len(met) == 1 and met[0].count() < 1.5 * len(want)
+
+
+def test_sets_that_share_rare_words_dont_meet_unless_they_are_alike(spark):
+    """Of sets over few words nearly all share rare ones; what meets by parts stays near the number of alike ones. Small sets of every size in two scopes."""
+    rng = random.Random(11)
+    sets = [("a", set(rng.sample(range(600), rng.randint(40, 80)))) for _ in range(800)]
+    for size in range(1, 30):
+        for _ in range(8):
+            words = set(rng.sample(range(600), size))
+            for k in range(rng.choice([0, 1, 1, 2, 3]) + 1):
+                sets.append((rng.choice("ab"), words - set(rng.sample(sorted(words), min(k, size - 1))) | ({700 + rng.randrange(100)} if k % 2 else set())))
+    sets = sorted({(scope, tuple(sorted(f"w{x}" for x in words))) for scope, words in sets})
+    want = {(i, j) for i, (s, a) in enumerate(sets) for j, (t, b) in enumerate(sets) if i < j and s == t and len(set(a) & set(b)) / len(set(a) | set(b)) >= rec.NEAR}
+    classes = rec.tabled(spark.createDataFrame([(s, i, list(w)) for i, (s, w) in enumerate(sets)], "scope string, class_id long, words array<string>"))
+    got = {(r["a"], r["b"]) for r in rec.similar_classes(classes).collect()}
+    assert got == want and len(want) > 100
+    met = rec._parts(classes.where("size(words) >= 40"), rec.NEAR).groupBy("scope", "key").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]
+    assert met < 800 * 799 / 2 * 0.02
