@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions import privacy, text
+from feedloom.operators.likeness import compared
 from feedloom.storage import tabled
 
 LEAST_NEAR, NEAR = 20, 0.85
@@ -176,10 +177,7 @@ def similar_classes(classes: DataFrame, least: float = NEAR) -> DataFrame:
     need = F.ceil(least / (1 + least) * (size + other) - CLOSE)
     fits = (F.least(size, other) >= F.greatest(size, other) * least - CLOSE) & (differ <= size + other - 2 * need)
     pairs = tabled(both.where(fits).select("scope", "a", "b"))
-    met = pairs.select("scope", F.explode(F.array("a", "b")).alias("class_id")).distinct()
-    sets = classes.select("scope", "class_id", "words").join(met, ["scope", "class_id"], "left_semi")
-    whole = pairs.join(sets.select("scope", F.col("class_id").alias("a"), F.col("words").alias("x")), ["scope", "a"]).join(sets.select("scope", F.col("class_id").alias("b"), F.col("words").alias("y")), ["scope", "b"])
-    return whole.withColumn("similarity", text.jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= least).select("scope", "a", "b", "similarity")
+    return compared(pairs, classes, least)
 
 
 def near_duplicates(records: DataFrame, least: float = NEAR, scope: str = "connector", without: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+from feedloom.operators import likeness
 from feedloom.operators import records as rec
 
 
@@ -86,3 +87,15 @@ def test_sets_that_share_rare_words_dont_meet_unless_they_are_alike(spark):
     assert got == want and len(want) > 100
     met = rec._parts(classes.where("size(words) >= 40"), rec.NEAR).groupBy("scope", "key").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]
     assert met < 800 * 799 / 2 * 0.02
+
+
+def test_groups_are_compared_by_tiles(spark, monkeypatch):
+    """A set moves for its tiles and not for its pairs; all pairs of a group are told, with words whose first hashes clash, too."""
+    monkeypatch.setattr(likeness, "TILE", 5)
+    hashed = likeness.F.xxhash64
+    monkeypatch.setattr(likeness.F, "xxhash64", lambda *c: hashed(*c) % 40 if str(c[-1]) == "Column<'0'>" else hashed(*c))
+    sets = [[f"w{x}" for x in range(60) if x != n] for n in range(40)] + [["alone"], ["w1", "w2"]]
+    classes = spark.createDataFrame([("s", i, w) for i, w in enumerate(sets)], "scope string, class_id long, words array<string>")
+    every = [("s", a, b) for a in range(42) for b in range(a + 1, 42)]
+    got = likeness.compared(spark.createDataFrame(every, "scope string, a long, b long"), classes, 0.9).collect()
+    assert sorted((r["a"], r["b"], r["similarity"]) for r in got) == [(a, b, 58 / 60) for _, a, b in every if b < 40]
