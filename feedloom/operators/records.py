@@ -88,7 +88,7 @@ def _levels(largest: int, least: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parts(classes: DataFrame, least: float) -> DataFrame:
-    """(scope, class_id, top, key): hashes of parts of each set, of which two sets as like as ``least`` share one.
+    """(scope, class_id, top, key, before..): hashes of parts of each set, of which two sets as like as ``least`` share one; and of the set's two parts before it, or 0.
 
     Sets of neighbouring sizes, a level, are cut by the words' hashes into the same parts, more than the words by which two of them can differ; so some parts are equal. There are
     SPARE more than that needs, and each set leaves out as many, those of the commonest words: of all parts that two sets share
@@ -129,10 +129,10 @@ def _parts(classes: DataFrame, least: float) -> DataFrame:
                     order = np.lexsort((number, -worth, of))
                     kept = order[(np.arange(total) - start[of[order]] < need[of[order]]) & ~alone[order]]
                     key = mixed(summed[ends[1:]] - summed[ends[:-1]]) ^ mixed((level[of] << 32 | number).astype(np.uint64))
-                    yield pd.DataFrame({"scope": part["scope"].to_numpy()[of[kept]], "class_id": part["class_id"].to_numpy()[of[kept]], "top": np.full(len(kept), lower == 0), "key": key[kept].view(np.int64)})
+                    yield pd.DataFrame({"scope": part["scope"].to_numpy()[of[kept]], "class_id": part["class_id"].to_numpy()[of[kept]], "top": np.full(len(kept), lower == 0), "key": key[kept].view(np.int64)} | {f"before{n}": np.concatenate([np.zeros(min(n, len(kept)), np.int64), np.where(of[kept[n:]] == of[kept[:-n]], key[kept[:-n]].view(np.int64), 0)]) for n in (1, 2)})
 
     sets = classes.where(F.size("words") > 0).select("scope", "class_id", words.alias("h"))
-    return sets.mapInPandas(cut, f"scope {classes.schema['scope'].dataType.simpleString()}, class_id long, top boolean, key long")
+    return sets.mapInPandas(cut, f"scope {classes.schema['scope'].dataType.simpleString()}, class_id long, top boolean, key long, before1 long, before2 long")
 
 
 def _bits(classes: DataFrame) -> DataFrame:
@@ -165,7 +165,9 @@ def similar_classes(classes: DataFrame, least: float = NEAR) -> DataFrame:
     """
     keyed = _parts(classes, least)
     a, b = keyed.alias("a"), keyed.alias("b")
-    shared = a.join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.class_id") < F.col("b.class_id")) & (F.col("a.top") | F.col("b.top")))
+    # two sets that share the part before, too, meet there
+    again = reduce(Column.__or__, ((F.col(f"a.before{n}") == F.col(f"b.before{n}")) & (F.col(f"a.before{n}") != 0) for n in (1, 2)))
+    shared = a.join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.class_id") < F.col("b.class_id")) & (F.col("a.top") | F.col("b.top")) & ~again)
     shared = shared.select("a.scope", F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct()
     bits = _bits(classes)
     of = lambda c: bits.select("scope", F.col("class_id").alias(c), F.struct(*[x for x in bits.columns if x not in ("scope", "class_id")]).alias(f"of_{c}"))
